@@ -56,8 +56,11 @@ def safe_divide(numerator: Column, denominator: Column, default: float = 0.0) ->
     return F.when(bad, F.lit(float(default))).otherwise(value)
 
 
-def clamp(column: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), column))
+def clamp(column: Column, low: float | Column, high: float | Column) -> Column:
+    """Value held between two bounds; null stays null."""
+    low = low if isinstance(low, Column) else F.lit(float(low))
+    high = high if isinstance(high, Column) else F.lit(float(high))
+    return F.when(column.isNotNull(), F.greatest(low, F.least(high, column)))
 
 
 def earnings_quality(earnings: Column, starts: Column, ceiling: float = EARNINGS_CEILING) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import flag, ratio
+from ..functions.numbers import clamp, flag, ratio
 from .grouping import as_grouping, previous_rows, top_k
 
 # Neutral priors for an entity without history.
@@ -74,8 +74,7 @@ def career_totals(df: DataFrame, horse, day: str, position: str, earnings: str)
 
 
 def _ability(mean_position: Column) -> Column:
-    level = 1 - (mean_position - 1) / 15
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), level)), F.lit(NEUTRAL_ABILITY))
+    return F.coalesce(clamp(1 - (mean_position - 1) / 15, 0, 1), F.lit(NEUTRAL_ABILITY))
 
 
 def event_career(

@@ -80,14 +80,14 @@ def field(spark: SparkSession, sf: str) -> tuple[DataFrame, Grouping]:
     return rows.join(races(spark, sf), "race_id"), by_race
 
 
-def r6(column: Column | str) -> Column:
-    """Rounded to six digits, so that sums agree whatever their order."""
-    return F.round(F.col(column) if isinstance(column, str) else column, 6)
+def r6(column: Column | str, digits: int = 6) -> Column:
+    """Rounded, so that sums agree whatever their order."""
+    return F.round(F.col(column) if isinstance(column, str) else column, digits)
 
 
-def rounded(df: DataFrame, *keys: str) -> DataFrame:
-    """All double columns rounded to six digits."""
-    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """All double columns rounded."""
+    return df.select(*[r6(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # The same roles in SQL.
