@@ -48,42 +48,26 @@ def _mean(values: Column) -> Column:
     return total / F.size(values)
 
 
-def _stats(places: Column, total: Column, unfinished: Column) -> Column:
-    """Statistics struct of an array of places (doubles, newest first)."""
+def _stats(places: Column, mean: Column, total: Column, unfinished: Column) -> Column:
+    """Statistics struct of an array of places (doubles, newest first) and its mean."""
     n = F.size(places)
-    mean = _mean(places)
-    spread = F.sqrt(F.aggregate(places, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)) / n)
-    some = n > 0
+    squares = F.aggregate(places, F.lit(0.0), lambda acc, v: acc + v * v)
+    # The mean of squared deviations, as a sum of squares: places are small whole numbers.
+    spread = F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0)))
+    first = F.get(places, 0)
     number = lambda ok, value: F.when(ok, value).otherwise(0.0)
     return F.struct(
-        number(some, mean).alias("avg_pos"),
-        number(some, _mean(F.slice(places, 1, RECENT_RUNS))).alias("recent_perf"),
+        number(n > 0, mean).alias("avg_pos"),
+        number(n > 0, _mean(F.slice(places, 1, RECENT_RUNS))).alias("recent_perf"),
         number(n > 1, spread).alias("consistency"),
-        number(n > 1, F.element_at(places, 1) - _mean(F.slice(places, 2, F.greatest(n, F.lit(1))))).alias("trend"),
-        number(some, F.size(F.filter(places, lambda v: v <= 3)) / n).alias("pct_top3"),
+        number(n > 1, first - (mean * n - first) / (n - 1)).alias("trend"),
+        number(n > 0, F.size(F.filter(places, lambda v: v <= 3)) / n).alias("pct_top3"),
         n.cast("long").alias("nb_courses"),
         total.cast("long").alias("total_races"),
-        F.when(total > 0, F.when(some, unfinished / total).otherwise(1.0)).otherwise(0.0).alias("dnf_rate"),
+        F.when(total > 0, F.when(n > 0, unfinished / total).otherwise(1.0)).otherwise(0.0).alias("dnf_rate"),
     )
 
 
-def form_stats(runs: Column, discipline: Column) -> dict[str, Column]:
-    """Structs ``global``, ``bytype`` (runs of the given discipline) and ``weighted``."""
-    runs = F.coalesce(runs, F.array().cast(
-        "array<struct<place:int,discipline:string,unfinished:boolean,token:string>>"))
-    placed = F.filter(runs, lambda r: r["place"].isNotNull())
-    every = _stats(
-        F.transform(placed, lambda r: r["place"].cast("double")), F.size(runs), F.size(runs) - F.size(placed)
-    )
-    same = F.filter(placed, lambda r: r["discipline"] == discipline)
-    lost = F.size(F.filter(runs, lambda r: r["unfinished"] & F.contains(r["token"], discipline)))
-    # Without a finished run of the discipline nothing is known about it.
-    lost = F.when(F.size(same) > 0, lost).otherwise(0)
-    same_places = F.transform(same, lambda r: r["place"].cast("double"))
-    bytype = _stats(same_places, F.size(same) + lost, lost)
-    return {"global": every, "bytype": bytype}
-
-
 def weighted_stats(every: Column, bytype: Column) -> Column:
     """Same-discipline statistics backed by the statistics of all runs."""
     blended = [
@@ -99,10 +83,34 @@ def weighted_stats(every: Column, bytype: Column) -> Column:
 
 
 def with_form_stats(df, form: str, discipline: str, prefix: str, newest_first: bool = True):
-    """Add structs ``{prefix}_global``, ``{prefix}_bytype`` and ``{prefix}_weighted``."""
-    stats = form_stats(form_runs(F.col(form), newest_first), F.coalesce(F.col(discipline), F.lit("")))
-    df = df.withColumns({f"{prefix}_{k}": v for k, v in stats.items()})
-    return df.withColumn(f"{prefix}_weighted", weighted_stats(F.col(f"{prefix}_global"), F.col(f"{prefix}_bytype")))
+    """Add structs ``{prefix}_global``, ``{prefix}_bytype`` (runs of the given discipline) and ``{prefix}_weighted``.
+
+    The steps are separate projections, so that every array is built once.
+    """
+    empty = F.array().cast("array<struct<place:int,discipline:string,unfinished:boolean,token:string>>")
+    kind = F.coalesce(F.col(discipline), F.lit(""))
+    out = df.withColumn("__runs", F.coalesce(form_runs(F.col(form), newest_first), empty))
+    doubles = lambda runs: F.transform(runs, lambda r: r["place"].cast("double"))
+    out = out.withColumns(
+        {
+            "__all": doubles(F.filter("__runs", lambda r: r["place"].isNotNull())),
+            "__same": doubles(F.filter("__runs", lambda r: r["place"].isNotNull() & (r["discipline"] == kind))),
+            "__lost": F.size(F.filter("__runs", lambda r: r["unfinished"] & F.contains(r["token"], kind))),
+            "__total": F.size("__runs"),
+        }
+    )
+    out = out.withColumns({"__all_mean": _mean(F.col("__all")), "__same_mean": _mean(F.col("__same"))})
+    # Without a finished run of the discipline nothing is known about it.
+    lost = F.when(F.size("__same") > 0, F.col("__lost")).otherwise(0)
+    every, bytype = f"{prefix}_global", f"{prefix}_bytype"
+    out = out.withColumns(
+        {
+            every: _stats(F.col("__all"), F.col("__all_mean"), F.col("__total"), F.col("__total") - F.size("__all")),
+            bytype: _stats(F.col("__same"), F.col("__same_mean"), F.size("__same") + lost, lost),
+        }
+    )
+    out = out.withColumn(f"{prefix}_weighted", weighted_stats(F.col(every), F.col(bytype)))
+    return out.drop("__runs", "__all", "__same", "__lost", "__total", "__all_mean", "__same_mean")
 
 
 def flatten_stats(df, *prefixes: str):

@@ -203,14 +203,11 @@ def weight_patterns(
     results: DataFrame, overall: DataFrame, by: Sequence[str], min_races: int = 10, min_shift: float = 0.2, min_gain: float = 0.05
 ) -> DataFrame:
     """Groups whose best weight differs from the overall best or clearly gains."""
-    best_all = best_weight(overall).select(
-        F.col("weight").alias("overall_weight"), F.col("winner_accuracy").alias("overall_accuracy")
-    )
-    # The overall side is one row.
-    joined = best_weight(results, by).join(F.broadcast(best_all))
-    shift = F.round(F.abs(F.col("weight") - F.col("overall_weight")), 9)
-    gain = F.col("winner_accuracy") - F.col("overall_accuracy")
-    return joined.where((F.col("total_races") >= min_races) & ((shift >= min_shift) | (gain > min_gain))).select(
+    best = best_weight(overall).select(F.struct("weight", "winner_accuracy")).scalar()
+    found = best_weight(results, by).withColumn("__all", best)
+    shift = F.round(F.abs(F.col("weight") - F.col("__all.weight")), 9)
+    gain = F.col("winner_accuracy") - F.col("__all.winner_accuracy")
+    return found.where((F.col("total_races") >= min_races) & ((shift >= min_shift) | (gain > min_gain))).select(
         *by,
         F.col("weight").alias("optimal_weight"),
         "winner_accuracy",

@@ -238,9 +238,9 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(F.inline(pairs))
     medians = quantiles_within(long, Grouping.measure(long, "column"), "value", [0.5], "m")
     # One row per column, so the map is as small as the schema.
-    wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", F.get("m", 0).alias("v")))).alias("__m"))
-    joined = df.join(F.broadcast(wide))
-    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("__m")[c]) for c in columns}).drop("__m")
+    wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", F.get("m", 0).alias("v")))))
+    median = wide.scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), median[c]) for c in columns})
 
 
 def null_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -270,17 +270,16 @@ def with_date_parts(df: DataFrame, column: str) -> DataFrame:
 def result_numbers(df: DataFrame, column: str, name: str, drop_empty: bool = False) -> DataFrame:
     """Finish text to number; codes rank behind the last finisher of the table."""
     text = F.upper(F.trim(F.col(column)))
-    highest = df.agg(F.coalesce(F.max(to_double(F.col(column))), F.lit(float(DEFAULT_MAX_POSITION))).alias("__max"))
-    joined = df.join(F.broadcast(highest))  # one row
+    highest = df.agg(F.coalesce(F.max(to_double(F.col(column))), F.lit(float(DEFAULT_MAX_POSITION)))).scalar()
     behind = F.lit(UNKNOWN_RESULT_STEP)
     for step, codes in RESULT_CODE_STEPS.items():
         behind = F.when(text.isin(*codes), step).otherwise(behind)
-    blank = F.lit(None).cast("double") if drop_empty else F.col("__max") + BLANK_RESULT_STEP
+    blank = F.lit(None).cast("double") if drop_empty else highest + BLANK_RESULT_STEP
     value = (
         F.when(F.coalesce(text, F.lit("")) == "", blank)
-        .otherwise(F.coalesce(to_double(text), F.col("__max") + behind))
+        .otherwise(F.coalesce(to_double(text), highest + behind))
     )
-    out = joined.withColumn(name, value).drop("__max")
+    out = df.withColumn(name, value)
     return out.where(F.col(name).isNotNull()) if drop_empty else out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.orders import overlap
-from .grouping import as_grouping, rank_within, row_number_within
+from .grouping import as_grouping, quantiles_within, rank_within, row_number_within
 
 
 def error_metrics(predicted: str, actual: str) -> dict[str, Column]:
@@ -32,19 +32,21 @@ def error_metrics(predicted: str, actual: str) -> dict[str, Column]:
 
 
 def regression_metrics(predicted: str, actual: str) -> dict[str, Column]:
-    """R², explained variance and agreement rates beside the errors."""
+    """Errors, R², explained variance and agreement rates."""
     p, a = F.col(predicted), F.col(actual)
     error = a - p
     spread = F.var_pop(a)
+    share = lambda condition: F.avg(condition.cast("int"))
     return {
-        "mae": F.avg(F.abs(error)),
+        "mse": F.avg(error * error),
         "rmse": F.sqrt(F.avg(error * error)),
+        "mae": F.avg(F.abs(error)),
         "r2": 1 - F.try_divide(F.avg(error * error), spread),
         "explained_variance": 1 - F.try_divide(F.var_pop(error), spread),
-        "exact_accuracy": F.avg((F.rint(p) == a).cast("int")),
-        "within_one": F.avg((F.abs(F.rint(p) - a) <= 1).cast("int")),
-        "top1_agreement": F.avg(((F.rint(p) == 1) == (a == 1)).cast("int")),
-        "top3_agreement": F.avg(((F.rint(p) <= 3) == (a <= 3)).cast("int")),
+        "top1_accuracy": share((F.rint(p) == 1) == (a == 1)),
+        "top3_accuracy": share((F.rint(p) <= 3) == (a <= 3)),
+        "exact_match": share(F.rint(p) == a),
+        "within_one": share(F.abs(F.rint(p) - a) <= 1),
         "n": F.count(error),
     }
 
@@ -127,6 +129,33 @@ def rates(df: DataFrame, wins: Sequence[str], by: Sequence[str] = ()) -> DataFra
     return df.groupBy(*by).agg(*aggregates)
 
 
+def rank_metrics(df: DataFrame, race: Sequence[str], rank: str, actual: str) -> DataFrame:
+    """One row: rank errors with their median, winner, top-3 and top-5 hits and mean overlaps."""
+    r, a = F.col(rank), F.col(actual)
+    error = F.abs(r - a)
+    per_race = df.groupBy(*race).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(F.when((r <= k) & (a <= k), 1)).alias(f"hit{k}") for k in (1, 3, 5)],
+        F.sum(error).alias("err"),
+        F.sum(error * error).alias("err2"),
+    )
+    full = lambda k: F.avg((F.col(f"hit{k}") == F.least(F.lit(k), F.col("n"))).cast("int"))
+    totals = per_race.agg(
+        F.count(F.lit(1)).alias("n_races"),
+        F.sum("n").alias("n_predictions"),
+        (F.sum("err") / F.sum("n")).alias("mae"),
+        F.sqrt(F.sum("err2") / F.sum("n")).alias("rmse"),
+        F.avg((F.col("hit1") > 0).cast("int")).alias("winner_accuracy"),
+        full(3).alias("top3_exact"),
+        full(5).alias("top5_exact"),
+        F.avg("hit3").alias("avg_top3_overlap"),
+        F.avg("hit5").alias("avg_top5_overlap"),
+    )
+    errors = df.select(F.lit(0).alias("__all"), error.cast("double").alias("__e"))
+    median = quantiles_within(errors, "__all", "__e", [0.5], "m").select(F.get("m", 0)).scalar()
+    return totals.withColumn("median_error", median)
+
+
 def spearman(df: DataFrame, group, score: str, actual: str) -> DataFrame:
     """Rank correlation per race with average ranks for ties; null for a constant side."""
     g = as_grouping(df, group)
