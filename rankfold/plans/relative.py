@@ -53,13 +53,13 @@ s4 AS (
       - CASE WHEN positive_momentum THEN 0.15 ELSE 0 END - CASE WHEN hot_connection THEN 0.10 ELSE 0 END - CASE WHEN distance_at_ease THEN 0.05 ELSE 0 END)) AS adj
   FROM s3),
 s5 AS (
-  SELECT *, greatest(earnings_score, track_score, form_score, connection_score, comfort_score) AS top_score,
+  SELECT *, round(greatest(earnings_score, track_score, form_score, connection_score, comfort_score), 9) AS top_score,
     CASE WHEN total_advantages >= 3 AND composite_score > 0.3 THEN 'dominant' WHEN total_advantages >= 2 AND composite_score > 0.15 THEN 'strong'
       WHEN total_advantages >= 1 OR composite_score > 0.05 THEN 'moderate' WHEN composite_score > -0.1 THEN 'neutral' ELSE 'weak' END AS strength
   FROM s4),
 s AS (
-  SELECT *, CASE WHEN total_advantages > 1 THEN 'multiple' WHEN total_advantages = 1 THEN CASE top_score WHEN earnings_score THEN 'earnings' WHEN track_score THEN 'track'
-      WHEN form_score THEN 'form' WHEN connection_score THEN 'connection' ELSE 'distance' END ELSE 'none' END AS primary_advantage_type,
+  SELECT *, CASE WHEN total_advantages > 1 THEN 'multiple' WHEN total_advantages = 1 THEN CASE top_score WHEN round(earnings_score, 9) THEN 'earnings' WHEN round(track_score, 9) THEN 'track'
+      WHEN round(form_score, 9) THEN 'form' WHEN round(connection_score, 9) THEN 'connection' ELSE 'distance' END ELSE 'none' END AS primary_advantage_type,
     CASE WHEN total_advantages > 1 THEN composite_score WHEN total_advantages = 1 THEN top_score ELSE 0 END AS advantage_strength,
     0.6 * pred_a + 0.4 * pred_b AS ensemble
   FROM s5)"""
@@ -101,7 +101,7 @@ def adjusted(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     _INPUT
     + """
-SELECT race_id, numero, round(epr, 9) AS earnings_per_race, round(field_avg_earnings, 7) AS field_avg_earnings, round(earnings_score, 6)::DOUBLE AS earnings_score,
+SELECT race_id, numero, round(epr, 9) AS earnings_per_race, round(field_avg_earnings, 9) AS field_avg_earnings, round(earnings_score, 6)::DOUBLE AS earnings_score,
   earnings_rank, CAST(earnings_advantage AS INTEGER) AS earnings_advantage, round(track_score, 6)::DOUBLE AS track_score, CAST(track_specialist AS INTEGER) AS track_specialist,
   round(class_score, 6)::DOUBLE AS class_score, round(class_relief_score, 6) AS class_relief_score, round(form_score, 6)::DOUBLE AS form_score,
   CAST(positive_momentum AS INTEGER) AS positive_momentum, round(connection_score, 6)::DOUBLE AS connection_score, CAST(hot_connection AS INTEGER) AS hot_connection,
@@ -112,7 +112,7 @@ def relative_scores(spark: SparkSession, sf: str) -> DataFrame:
     flags = ("earnings_advantage", "track_specialist", "positive_momentum", "hot_connection", "distance_at_ease")
     out = rows.select(
         "race_id", "numero", F.round("earnings_per_race", 9).alias("earnings_per_race"),
-        F.round("field_avg_earnings", 7).alias("field_avg_earnings"), "earnings_rank", *[F.col(f).cast("int").alias(f) for f in flags],
+        F.round("field_avg_earnings", 9).alias("field_avg_earnings"), "earnings_rank", *[F.col(f).cast("int").alias(f) for f in flags],
         *[F.round(c, 6).alias(c) for c in (
             "earnings_score", "track_score", "class_score", "class_relief_score", "form_score", "connection_score", "comfort_score")],
     )
@@ -164,7 +164,7 @@ SELECT race_id, numero, contender, round(composite_score, 6)::DOUBLE AS composit
 FROM k WHERE contender <= 3"""
 )
 def top_contenders(spark: SparkSession, sf: str) -> DataFrame:
-    rows = relative.composite(scored(spark, sf)).withColumn("composite_score", F.round("composite_score", 9))
+    rows = relative.composite(scored(spark, sf))
     out = relative.top_contenders(rows, ["race_id"], "numero")
     return rounded(out.withColumn("key_advantages", F.array_join("key_advantages", ",")))
 

@@ -1,0 +1 @@
+"""Structured Streaming jobs of the daily feed."""
