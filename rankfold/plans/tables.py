@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import discipline_code
 from ..operators import cleaning
 from ..operators.grouping import row_number_within
-from ..operators.nesting import nest, parse_nested, unnest
+from ..operators.nesting import nest, order_strings, parse_nested, unnest
 from ..sources import races as scans
 from ..sources import tables
 from .registry import query
@@ -33,22 +33,16 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
         "predicted_rank",
         "position",
     )
-    # One grouping builds all nested columns of a race.
-    nested = nest(rows, ["race_id"], "numero", ["idche", "cotedirect", "predicted_position", "predicted_rank", "position"], "__all")
-    nested = nested.withColumns(
+    # One grouping builds both nested columns of a race.
+    nested = nest(rows, ["race_id"], "numero", ["idche", "cotedirect", "predicted_position", "predicted_rank"], "__all")
+    order = order_strings(rows, ["race_id"], "position", "numero", "__order")
+    sizes = rows.groupBy("race_id").agg(F.count(F.lit(1)).alias("partant"))
+    nested = nested.join(order, ["race_id", "part"]).join(sizes, "race_id").withColumns(
         {
             "participants": F.transform("__all", lambda e: F.struct(e["numero"], e["idche"], e["cotedirect"])),
             "__pred": F.transform(
                 "__all", lambda e: F.struct(e["idche"], e["numero"], e["predicted_position"], e["predicted_rank"])
             ),
-            "__order": F.array_join(
-                F.transform(
-                    F.array_sort(F.transform("__all", lambda e: F.struct(e["position"].alias("p"), e["numero"].alias("n")))),
-                    lambda e: e["n"].cast("string"),
-                ),
-                "-",
-            ),
-            "partant": F.size("__all"),
         }
     )
     out = races(spark, sf).join(nested, "race_id").join(venues(spark, sf), "cust_id")
@@ -126,12 +120,11 @@ SELECT race_id AS comp, array_to_string(list(numero ORDER BY rank) FILTER (WHERE
   CAST(max(CASE WHEN numero = 1 THEN rank END) AS BIGINT) AS rank_of_first FROM ranked {_STATUS} GROUP BY race_id"""
 )
 def second_model_top5(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scans.second_model(daily(spark, sf))
-    return rows.select(
-        "comp",
-        F.array_join(F.transform("top", lambda n: n.cast("string")), "-").alias("top5"),
-        F.try_element_at("ranks", F.lit(1).cast("long")).alias("rank_of_first"),
-    )
+    rows = daily(spark, sf)
+    first = F.max(F.try_element_at("ranks", F.lit(1).cast("long"))).alias("rank_of_first")
+    ranks = scans.rank_maps(rows).groupBy("comp").agg(first)
+    top = F.array_join(F.transform("top", lambda n: n.cast("string")), "-").alias("top5")
+    return scans.second_model(rows).select("comp", top).join(ranks, "comp")
 
 
 @query(WITH_FIELD + f" SELECT race_id AS comp, position, numero FROM field {_DONE}")
@@ -219,7 +212,7 @@ def feature_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     nested = tables.feature_export(rows, "race_id", "numero", ["pred_a", "pred_b"]).join(per_race, "race_id")
     # A document holds the races of one bucket, so documents stay small at any size.
     bucket = F.floor(F.col("race_id") / 500)
-    documents = nested.groupBy(bucket.alias("bucket")).agg(
+    documents = nested.groupBy(bucket.alias("bucket"), "part").agg(
         F.collect_list(F.struct("race_id", "hippo", "date", "X_features")).alias("races")
     )
     path = tables.stage_path(spark, "features")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.orders import PENDING, explode_arrival, explode_order, order_array
 from ..functions.text import clean_text
 from ..operators.grouping import first_per_key
-from ..operators.nesting import unnest
+from ..operators.nesting import CHUNK, unnest
 
 
 def known_result(column: str = "actual_results") -> Column:
@@ -141,13 +141,10 @@ def predictions(stored: DataFrame, day=None, ids: DataFrame | None = None) -> Da
 
 def nested_predictions(races: DataFrame, missing: int | None = 999) -> DataFrame:
     """Predictions of the nested column with the actual position; a missing one gets ``missing``."""
-    rows = races.where(has_predictions()).select("comp", "jour", "actual_results", F.inline("predictions"))
-    order = order_array(F.col("actual_results"))
-    place = F.array_position(order, F.col("numero").cast("string")).cast("long")
-    actual = F.when(place > 0, place)
-    if missing is not None:
-        actual = F.coalesce(actual, F.lit(missing))
-    return rows.withColumn("actual_position", actual).drop("actual_results")
+    rows = races.where(has_predictions()).select("comp", "jour", F.inline("predictions"))
+    actual = positions_of_orders(races.where(known_result())).withColumnRenamed("position", "actual_position")
+    out = rows.join(actual, ["comp", "numero"], "left")
+    return out if missing is None else out.na.fill(missing, ["actual_position"])
 
 
 def newest_file(df: DataFrame) -> DataFrame:
@@ -158,13 +155,16 @@ def newest_file(df: DataFrame) -> DataFrame:
 
 
 def second_model(races: DataFrame, top: int = 5) -> DataFrame:
-    """Per race: the leading runners of the nested predictions and a rank map."""
-    ranked = F.array_sort(F.transform("predictions", lambda p: F.struct(p["predicted_rank"].alias("r"), p["numero"].alias("n"))))
-    return races.where(has_predictions()).select(
-        "comp",
-        F.transform(F.slice(ranked, 1, top), lambda e: e["n"]).alias("top"),
-        F.map_from_entries(F.transform(ranked, lambda e: F.struct(e["n"], e["r"]))).alias("ranks"),
-    )
+    """(comp, top): the leading runners of each race's nested predictions, best first."""
+    rows = races.where(has_predictions()).select("comp", F.inline("predictions")).where(F.col("predicted_rank") <= top)
+    leading = F.array_sort(F.collect_list(F.struct(F.col("predicted_rank").alias("r"), F.col("numero").alias("n"))))
+    return rows.groupBy("comp").agg(F.transform(leading, lambda e: e["n"]).alias("top"))
+
+
+def rank_maps(races: DataFrame) -> DataFrame:
+    """Race rows with a map from runner number to predicted rank."""
+    entries = F.transform("predictions", lambda p: F.struct(p["numero"], p["predicted_rank"]))
+    return races.where(has_predictions()).select("comp", F.map_from_entries(entries).alias("ranks"))
 
 
 def positions(results: DataFrame) -> DataFrame:
@@ -173,12 +173,17 @@ def positions(results: DataFrame) -> DataFrame:
 
 
 def positions_of_orders(races: DataFrame, order: str = "actual_results") -> DataFrame:
-    """(comp, position, numero) of order strings."""
-    return explode_order(races, order, "comp")
+    """(comp, position, numero) of order strings; later parts of a long order count on."""
+    if "part" not in races.columns:
+        return explode_order(races, order, "comp")
+    rows = explode_order(races, order, "comp", "part")
+    return rows.select("comp", (F.col("position") + F.col("part") * CHUNK).alias("position"), "numero")
 
 
 def complete_orders(races: DataFrame, order: str = "actual_results", size: int = 5) -> DataFrame:
     """Races with a complete top five: sets of the first three, four and five."""
+    if "part" in races.columns:
+        races = races.where(F.col("part") == 0)
     numbers = F.filter(F.transform(order_array(F.col(order)), lambda t: t.try_cast("long")), lambda n: n > 0)
     leading = races.select("comp", F.slice(numbers, 1, size).alias("__o")).where(F.size("__o") == size)
     return leading.select("comp", *[F.slice("__o", 1, k).alias(f"top{k}") for k in range(3, size + 1)])

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.orders import PENDING, order_array
 from ..functions.text import handicap_columns
 from ..operators.grouping import first_per_key
-from ..operators.nesting import nest
+from ..operators.nesting import CHUNK, nest, unnest
 from ..session import shared_folder
-from .races import known_result
+from .races import known_result, positions_of_orders
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -76,7 +76,10 @@ def race_rows(races: DataFrame, runners: DataFrame, key: str, number: str, field
 
 
 def result_rows(rows: DataFrame, race: str, position: str, number: str, horse: str) -> DataFrame:
-    """Arrival arrays: numbers first in order, then codes."""
+    """Arrival arrays: numbers first in order, then codes.
+
+    Entries carry their finish, so a very large race may come in several parts.
+    """
     text = F.col(position).cast("string")
     is_number = text.rlike("^[0-9]+$")
     entry = F.struct(
@@ -88,7 +91,8 @@ def result_rows(rows: DataFrame, race: str, position: str, number: str, horse: s
     )
     ordered = F.array_sort(F.collect_list(entry))
     plain = F.transform(ordered, lambda e: F.struct(e["narrivee"], e["cheval"], e["idche"]))
-    return rows.groupBy(race).agg(plain.alias("ordre_arrivee"))
+    part = F.floor((F.col(number) - 1) / CHUNK).cast("long").alias("part")
+    return rows.groupBy(race, part).agg(plain.alias("ordre_arrivee"))
 
 
 def prediction_rows(df: DataFrame, ensemble: str, final: str, weights: Mapping[str, float]) -> DataFrame:
@@ -136,22 +140,21 @@ def archive(daily: DataFrame, archived: DataFrame | None, renames: Mapping[str,
     if archived is not None:
         rows = rows.join(archived.select("comp"), "comp", "left_anti")
     rows = rows.withColumnsRenamed(dict(renames or {"reun": "reunion"}))
+    before = F.col("part") * CHUNK if "part" in rows.columns else F.lit(0)
     order = F.transform(
         order_array(F.col("actual_results")),
-        lambda n, i: F.struct((i + 1).cast("string").alias("narrivee"), n.try_cast("int").alias("cheval")),
+        lambda n, i: F.struct((i + 1 + before).cast("string").alias("narrivee"), n.try_cast("int").alias("cheval")),
     )
     results = rows.select("comp", order.alias("ordre_arrivee"))
     return rows.drop("actual_results", "predictions"), results, rows.select("comp", "jour")
 
 
 def with_final_positions(races: DataFrame, order: str = "actual_results") -> DataFrame:
-    """Nested participants carrying ``final_position`` from the order string."""
-    numbers = order_array(F.col(order))
-    place = lambda p: F.array_position(numbers, p["numero"].cast("string")).cast("int")
-    return races.withColumn(
-        "participants",
-        F.transform("participants", lambda p: p.withField("final_position", F.when(place(p) > 0, place(p)))),
-    )
+    """(comp, part, participants): nested participants carrying ``final_position`` from the order string."""
+    rows = unnest(races.select("comp", "participants"), "participants")
+    places = positions_of_orders(races, order).withColumnRenamed("position", "final_position")
+    fields = [c for c in rows.columns if c not in ("comp", "numero")]
+    return nest(rows.join(places, ["comp", "numero"], "left"), ["comp"], "numero", [*fields, "final_position"], "participants")
 
 
 def expired(df: DataFrame, day: str, days: int, today: Column | None = None) -> Column:
