@@ -19,8 +19,10 @@ from .cleaning import category_codes
 
 # Model settings and limits.
 GBT_SETTINGS = {"maxIter": 150, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
-FOREST_SETTINGS = {"numTrees": 100, "maxDepth": 10, "seed": 42}
-RESIDUAL_SETTINGS = {"numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 5, "seed": 42}
+FOREST_SETTINGS = {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all", "seed": 42}
+RESIDUAL_SETTINGS = {
+    "numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42,
+}
 MIN_CALIBRATION_ROWS, CALIBRATOR_MAX_DAYS, CALIBRATOR_MIN_ROWS = 50, 90, 100
 POSITION_RANGE = (1.0, 20.0)
 MIN_TYPE_ROWS = 100

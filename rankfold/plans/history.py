@@ -87,7 +87,8 @@ def asof_hit_rates_and_recency(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("race_id", "numero", "horse_id", *kept))
 
 
-RECENT_ORDER = [F.col("jour").desc(), F.col("race_id").desc(), F.col("numero").asc()]
+def newest_first():
+    return [F.col("jour").desc(), F.col("race_id").desc(), F.col("numero").asc()]
 
 
 @query(
@@ -98,7 +99,7 @@ WHERE run_no <= 20"""
 )
 def recent_k_history(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = field(spark, sf)
-    latest = history.recent_runs(rows, ["horse_id"], RECENT_ORDER, 20)
+    latest = history.recent_runs(rows, ["horse_id"], newest_first(), 20)
     return latest.select("horse_id", "run_no", "race_id", "numero", "position")
 
 
@@ -115,7 +116,7 @@ def recent_year_history(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = field(spark, sf)
     today = rows.groupBy("horse_id").agg(F.max("jour").alias("today"))
     rows = rows.join(today, "horse_id")
-    latest = history.recent_runs_within(rows, ["horse_id"], "jour", RECENT_ORDER, F.col("today"))
+    latest = history.recent_runs_within(rows, ["horse_id"], "jour", newest_first(), F.col("today"))
     return latest.select("horse_id", "run_no", "race_id", "numero", "position")
 
 
