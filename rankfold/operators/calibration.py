@@ -43,6 +43,7 @@ DIMENSIONS = (
     Dimension("typec", "typec", min_error=0.4),
 )
 OVERALL = "systematic"
+MAX_BUCKETS = 10_000
 OVERALL_MIN_ERROR, OVERALL_HIGH_ERROR, SIGNIFICANCE = 0.2, 0.5, 0.05
 
 
@@ -152,24 +153,29 @@ def apply_corrections(
 ) -> DataFrame:
     """Add the corrections of all dimensions, clipped to [1, field size].
 
-    The table has one row per bucket, so it is folded to one map. ``mode='single'``
-    applies the largest correction only, as the dimensions overlap.
+    The table is the fitted calibration: one row per bucket. It is read once, like
+    a saved model, and applied as constant lookups inside the scan stage.
+    ``mode='single'`` applies the largest correction only, as the dimensions overlap.
     """
     if mode not in ("sum", "single"):
         raise ValueError(f"unknown mode {mode!r}")
-    entry = F.struct(F.concat_ws("\u0001", "bias_type", "bucket").alias("k"), F.col("correction").alias("v"))
-    lookup = table.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    shift = lambda kind, label: F.coalesce(
-        F.try_element_at(lookup, F.concat(F.lit(kind + "\u0001"), label)), F.lit(0.0)
-    )
-    parts = [shift(d.name, F.coalesce(d.label(), F.lit(""))) for d in dimensions if d.column in df.columns]
-    parts.append(shift(OVERALL, F.lit("all")))
+    model = table.select("bias_type", "bucket", "correction").limit(MAX_BUCKETS + 1).collect()
+    if len(model) > MAX_BUCKETS:
+        raise ValueError(f"a calibration has at most {MAX_BUCKETS} buckets")
+    parts = []
+    for d in dimensions:
+        known = [F.lit(v) for r in model if r["bias_type"] == d.name for v in (r["bucket"], float(r["correction"]))]
+        if known and d.column in df.columns:
+            parts.append(F.coalesce(F.try_element_at(F.create_map(*known), F.coalesce(d.label(), F.lit(""))), F.lit(0.0)))
+    parts += [F.lit(float(r["correction"])) for r in model if r["bias_type"] == OVERALL]
+    parts = parts or [F.lit(0.0)]
     if mode == "sum":
         total = sum(parts[1:], parts[0])
     else:
         total = F.array_max(F.array(*[F.struct(F.abs(p).alias("size"), p.alias("v")) for p in parts]))["v"]
     high = F.col(field_size).cast("double") if field_size in df.columns else F.lit(float("inf"))
-    return df.withColumn(name, clamp(F.col(predicted) + total, F.lit(1.0), high))
+    shifted = df.withColumn("__shifted", F.col(predicted) + total)
+    return shifted.withColumn(name, clamp(F.col("__shifted"), F.lit(1.0), high)).drop("__shifted")
 
 
 def improvement(df: DataFrame, predicted: str, calibrated: str, actual: str) -> DataFrame:

@@ -237,10 +237,8 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(F.inline(pairs))
     medians = quantiles_within(long, Grouping.measure(long, "column"), "value", [0.5], "m")
-    # One row per column, so the map is as small as the schema.
-    wide = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", F.get("m", 0).alias("v")))))
-    median = wide.scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), median[c]) for c in columns})
+    fitted = {r["column"]: r["m"] for r in medians.select("column", F.get("m", 0).alias("m")).collect()}  # one row per column
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fitted.get(c)).cast("double")) for c in columns})
 
 
 def null_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
@@ -271,14 +269,11 @@ def result_numbers(df: DataFrame, column: str, name: str, drop_empty: bool = Fal
     """Finish text to number; codes rank behind the last finisher of the table."""
     text = F.upper(F.trim(F.col(column)))
     highest = df.agg(F.coalesce(F.max(to_double(F.col(column))), F.lit(float(DEFAULT_MAX_POSITION)))).scalar()
-    behind = F.lit(UNKNOWN_RESULT_STEP)
+    blank = F.coalesce(text, F.lit("")) == ""
+    behind = F.when(blank, F.lit(None if drop_empty else BLANK_RESULT_STEP).cast("int"))
     for step, codes in RESULT_CODE_STEPS.items():
-        behind = F.when(text.isin(*codes), step).otherwise(behind)
-    blank = F.lit(None).cast("double") if drop_empty else highest + BLANK_RESULT_STEP
-    value = (
-        F.when(F.coalesce(text, F.lit("")) == "", blank)
-        .otherwise(F.coalesce(to_double(text), highest + behind))
-    )
+        behind = behind.when(text.isin(*codes), step)
+    value = F.coalesce(to_double(text), highest + behind.otherwise(UNKNOWN_RESULT_STEP))
     out = df.withColumn(name, value)
     return out.where(F.col(name).isNotNull()) if drop_empty else out
 

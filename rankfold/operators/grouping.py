@@ -186,17 +186,23 @@ def previous_rows(df: DataFrame, group, order: Sequence[Column], values: Sequenc
     return plain.unionByName(hot)
 
 
-def quantiles_within(df: DataFrame, group, value: str, probs: Sequence[float], name: str) -> DataFrame:
-    """Exact interpolated quantiles per group as an array; nulls are ignored."""
+def quantiles_within(
+    df: DataFrame, group, value: str, probs: Sequence[float], name: str, count: str | None = None
+) -> DataFrame:
+    """Exact interpolated quantiles per group as an array; nulls are ignored.
+
+    ``count`` names a column that says how often a row's value occurs.
+    """
     g = as_grouping(df, group)
     keys = list(g.keys)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
+    often = F.lit(1) if count is None else F.col(count)
     if g.hot is None:
-        return df.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
+        return df.groupBy(*keys).agg(F.percentile(value, wanted, often).alias(name))
     plain, hot = g.split(df)
-    plain = plain.groupBy(*keys).agg(F.percentile(value, wanted).alias(name))
+    plain = plain.groupBy(*keys).agg(F.percentile(value, wanted, often).alias(name))
     # Equal values are counted before the shuffle, then found by cumulative count.
-    values = hot.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    values = hot.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(often).alias("__n"))
     totals = values.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     placed = _running_before(values, keys, [F.col(value).asc()], F.col("__n")).join(totals, keys)
     at = placed.select(*keys, value, "__before", "__n", "__size", F.posexplode(wanted).alias("__i", "__p"))

@@ -146,13 +146,17 @@ def importances(model, columns: Sequence[str], spark) -> DataFrame:
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns to mean 0 and (population) deviation 1; constant columns become 0."""
-    stats = df.select(
-        F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns])
-    ).scalar()
-    z = lambda c: F.when(stats[c]["s"] > 0, (F.col(c) - stats[c]["m"]) / stats[c]["s"]).otherwise(0.0)
+    mean, deviation = _moments(df, columns, F.stddev_pop)
+    z = lambda c: (F.col(c) - mean[c]) / deviation[c] if deviation[c] else F.lit(0.0)
     return df.withColumns({c: z(c) for c in columns})
 
 
+def _moments(df: DataFrame, columns: Sequence[str], deviation) -> tuple[dict, dict]:
+    """Mean and deviation of each column: one pass, one row to the driver, as a scaler is fitted."""
+    row = df.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[deviation(c).alias(f"{c}__s") for c in columns]).first()
+    return {c: row[f"{c}__m"] for c in columns}, {c: row[f"{c}__s"] for c in columns}
+
+
 def vectors(df: DataFrame, columns: Sequence[str], k: int, key: str, name: str = "vector") -> tuple[DataFrame, PipelineModel]:
     """Scaled principal-component vectors of rows that are one per key."""
     filled = df.na.fill(0.0, list(columns))
@@ -215,12 +219,8 @@ def course_vectors(races: DataFrame, key: str, categories: Sequence[str], number
         places = coded.select("__v", ((F.col("__code") + 1) / size).alias("__place"))
         out = out.withColumn("__v", text).join(places, "__v", "left")
         out = out.withColumn(c, F.coalesce("__place", F.lit(0.0))).drop("__v", "__place")
-    stats = races.select(
-        F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in numbers])
-    ).scalar()
-    z = lambda c: F.when(
-        F.col(c).isNotNull(), (F.col(c) - stats[c]["m"]) / F.when(stats[c]["s"] > 0, stats[c]["s"]).otherwise(1.0)
-    ).otherwise(0.0)
+    mean, deviation = _moments(races, numbers, F.stddev_samp)
+    z = lambda c: F.coalesce((F.col(c) - F.lit(mean[c])) / F.lit(deviation[c] or 1.0), F.lit(0.0))
     out = out.withColumns({c: z(c) for c in numbers})
     return out.withColumns({name: F.col(a) * F.col(b) for name, (a, b) in crosses.items()})
 

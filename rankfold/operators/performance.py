@@ -122,7 +122,8 @@ def strength_distribution(df: DataFrame, strength: str) -> DataFrame:
     )
     values = df.select(F.lit(0).alias("__all"), s.cast("double").alias("__s"))
     quartiles = quantiles_within(values, "__all", "__s", [0.25, 0.5, 0.75], "q").select("q").scalar()
-    return bands.withColumns({"q25": quartiles[0], "median": quartiles[1], "q75": quartiles[2]})
+    bands = bands.withColumn("__q", quartiles)
+    return bands.select("*", *[F.get("__q", i).alias(n) for i, n in enumerate(("q25", "median", "q75"))]).drop("__q")
 
 
 def adjustment_effect(df: DataFrame, strength: str, adjustment: str) -> DataFrame:

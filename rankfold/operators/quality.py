@@ -50,8 +50,8 @@ def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.skewness("value").alias("skewness"),
         F.kurtosis("value").alias("kurtosis"),
     )
-    by_column = Grouping.measure(long, "column")
-    quartiles = quantiles_within(long, by_column, "value", [0.25, 0.5, 0.75], "q").select(
+    by_column = Grouping.measure(counts, "column")
+    quartiles = quantiles_within(counts, by_column, "value", [0.25, 0.5, 0.75], "q", "n").select(
         "column",
         F.get("q", 0).alias("q1"),
         F.get("q", 1).alias("median"),

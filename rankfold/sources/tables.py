@@ -165,8 +165,8 @@ def expired(df: DataFrame, day: str, days: int, today: Column | None = None) ->
 
 def retention_report(df: DataFrame, day: str, days: int) -> DataFrame:
     """Dry run: how many rows would go and stay."""
-    old = expired(df, day, days)
-    return df.agg(
+    old = F.col("__old")
+    return df.withColumn("__old", expired(df, day, days)).agg(
         F.count(F.when(old, 1)).alias("to_delete"), F.count(F.when(~old, 1)).alias("to_keep"),
         F.min(F.when(old, F.col(day))).alias("oldest"),
     )
