@@ -45,7 +45,7 @@ def form_runs(form: Column, newest_first: bool = True, keep_year_marks: bool = F
 
 def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    return total / F.size(values)
+    return F.try_divide(total, F.size(values))
 
 
 def _stats(places: Column, mean: Column, total: Column, unfinished: Column) -> Column:

@@ -31,6 +31,7 @@ def any_order(column: Column) -> Column:
     )
     document = F.transform(ranked, lambda a: a["c"])
     listed = F.from_json(text, "array<string>")
+    # Numeric places sort as numbers, so a document of any order reads the same.
     return (
         F.when(text.rlike(r"^\[\s*\{"), document)
         .when(text.startswith("["), listed)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import correlation
 from ..functions.orders import overlap
 from .grouping import as_grouping, quantiles_within, rank_within, row_number_within
 
@@ -164,7 +165,7 @@ def spearman(df: DataFrame, group, score: str, actual: str) -> DataFrame:
     ranked = rank_within(ranked, g, actual, "__ra", "average")
     return ranked.groupBy(*g.keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.when((F.stddev_pop("__rp") > 0) & (F.stddev_pop("__ra") > 0), F.corr("__rp", "__ra")).alias("spearman"),
+        correlation("__rp", "__ra").alias("spearman"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp
+from ..functions.numbers import clamp, correlation
 from .cleaning import category_codes
 
 # Model settings and limits.
@@ -124,9 +124,9 @@ def f_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     entries = []
     for c in columns:
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
-        r2 = F.pow(F.corr(c, target), 2)
+        r2 = F.pow(correlation(c, target), 2)
         entries.append(
-            F.struct(F.lit(c).alias("column"), (r2 / (1 - r2) * (F.count(F.when(both, 1)) - 2)).alias("f_score"))
+            F.struct(F.lit(c).alias("column"), (F.try_divide(r2, 1 - r2) * (F.count(F.when(both, 1)) - 2)).alias("f_score"))
         )
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import correlation
 from .grouping import as_grouping, quantiles_within, top_k
 
 
@@ -133,7 +134,7 @@ def adjustment_effect(df: DataFrame, strength: str, adjustment: str) -> DataFram
         F.stddev_samp(a).alias("std_adjustment"),
         F.min(a).alias("min_adjustment"),
         F.max(a).alias("max_adjustment"),
-        F.coalesce(F.corr(strength, adjustment), F.lit(0.0)).alias("strength_correlation"),
+        F.coalesce(correlation(strength, adjustment), F.lit(0.0)).alias("strength_correlation"),
         _count(a > 1).alias("large_positive"),
         _count((a > 0) & (a <= 1)).alias("moderate_positive"),
         _count(a == 0).alias("neutral"),
@@ -227,7 +228,7 @@ def error_by_position(df: DataFrame, score: str, actual: str) -> DataFrame:
 def agreement(df: DataFrame, first: str, second: str) -> DataFrame:
     """Correlation and mean distance of two models."""
     return df.agg(
-        F.corr(first, second).alias("correlation"),
+        correlation(first, second).alias("correlation"),
         F.avg(F.abs(F.col(first) - F.col(second))).alias("mean_abs_difference"),
         F.count(F.when(F.col(first).isNotNull() & F.col(second).isNotNull(), 1)).alias("n"),
     )
@@ -258,3 +259,12 @@ def jockey_profile(df: DataFrame, jockey: str, means: Sequence[str], races: str,
             "performance_index": (F.col(wins) * 3 + F.col(places) * 1.5) / 4.5,
         }
     )
+
+
+def best_and_worst(df: DataFrame, score: str, actual: str, tie_break: Sequence[str], k: int = 5) -> DataFrame:
+    """The k rows with the smallest and the k with the largest error."""
+    rows = df.withColumn("error", F.abs(F.col(score) - F.col(actual))).where(F.col("error").isNotNull())
+    ties = [F.asc(c) for c in tie_break]
+    best = rows.orderBy(F.asc("error"), *ties).limit(k).withColumn("side", F.lit("best"))
+    worst = rows.orderBy(F.desc("error"), *ties).limit(k).withColumn("side", F.lit("worst"))
+    return best.unionByName(worst)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import correlation
 from .cleaning import NUMERIC_TYPES
 from .grouping import Grouping, quantiles_within
 
@@ -105,18 +106,31 @@ def audit_flags(audit: DataFrame) -> DataFrame:
     return audit.select("column", F.explode(found).alias("f")).select("column", "f.*")
 
 
+PAIRS_PER_PASS = 100
+
+
 def correlated_pairs(df: DataFrame, columns: Sequence[str], limit: float = HIGH_CORRELATION) -> DataFrame:
-    """(first, second, correlation) above the limit; all pairs in one aggregation."""
+    """(first, second, correlation) above the limit, over rows where both columns are known.
+
+    A pass aggregates a hundred pairs of columns, so a wide frame keeps small plans.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.corr(a, b).alias("correlation")) for a, b in pairs
-    ])
-    return df.agg(entries.alias("e")).select(F.inline("e")).where(F.abs("correlation") > limit)
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        entries = F.array(*[
+            F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), correlation(a, b).alias("correlation"))
+            for a, b in pairs[start : start + PAIRS_PER_PASS]
+        ])
+        parts.append(df.agg(entries.alias("e")).select(F.inline("e")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where(F.abs("correlation") > limit)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(column, correlation) with the target, strongest first."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.corr(c, target).alias("correlation")) for c in columns])
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), correlation(c, target).alias("correlation")) for c in columns])
     return df.agg(entries.alias("e")).select(F.inline("e")).orderBy(F.abs("correlation").desc_nulls_last())
 
 

@@ -339,3 +339,27 @@ def drop_implausible_races(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = runners(spark, sf)
     kept = cleaning.drop_implausible(rows, ["race_id"], "pred_a", 30.0, 48.0)
     return cleaning.valid_finish(kept, "position").select("race_id", "numero")
+
+
+@query(
+    """
+WITH v AS (SELECT l_quantity AS a, CASE WHEN l_discount > 0.02 THEN CAST(l_suppkey AS VARCHAR) ELSE '' END AS n,
+    CASE l_linenumber % 4 WHEN 0 THEN 'gauche' WHEN 1 THEN 'droite' WHEN 2 THEN 'x' END AS corde FROM lineitem),
+m AS (SELECT quantile_cont(try_cast(n AS DOUBLE), 0.5) AS med FROM v),
+c AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS code FROM (SELECT DISTINCT coalesce(corde, 'unknown') AS k FROM v)),
+r AS (SELECT a, coalesce(try_cast(n AS DOUBLE), med) AS n, code AS corde_code FROM v JOIN c ON c.k = coalesce(v.corde, 'unknown'), m)
+SELECT corde_code, count(*) AS rows, round(sum(a), 4) AS a_sum, round(sum(n), 4) AS n_sum FROM r GROUP BY corde_code"""
+)
+def prepared_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric training frame: text coerced and median-filled, a sparse category coded, an unusable column dropped."""
+    kind = F.col("l_linenumber") % 4
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("a"),
+        F.when(F.col("l_discount") > 0.02, F.col("l_suppkey").cast("string")).otherwise("").alias("n"),
+        F.when(kind == 0, "gauche").when(kind == 1, "droite").when(kind == 2, "x").alias("corde"),
+        F.col("l_returnflag").alias("unusable"),
+        F.col("l_orderkey").alias("comp"),
+    )
+    ready = cleaning.model_ready(rows, ["comp"], codes=["corde"])
+    out = ready.groupBy("corde_code").agg(F.count(F.lit(1)).alias("rows"), F.sum("a").alias("a_sum"), F.sum("n").alias("n_sum"))
+    return rounded(out, 4)

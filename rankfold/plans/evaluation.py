@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.orders import bet_columns, order_array, order_scores
+from ..functions.orders import any_order, bet_columns, order_scores
 from ..operators import evaluation, performance
-from ..operators.grouping import row_number_within, with_group_stats
-from ..operators.nesting import order_strings
+from ..operators.grouping import row_number_within
 from .registry import query
-from .roles import WITH_FIELD, WITH_RUNNERS, field, r6, rounded, runners
+from .roles import WITH_FIELD, WITH_RUNNERS, rounded, runners
 from .scorecard import RANKED, ranked_runners
 
 BETS = (
@@ -564,3 +563,35 @@ FROM stored GROUP BY kind"""
 )
 def adjustment_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(performance.adjustment_summary(stored(spark, sf), "adjustment", ["kind"]))
+
+
+@query(
+    WITH_RUNNERS
+    + """,
+e AS (SELECT race_id, numero, abs(pred_b - position) AS error FROM runners)
+SELECT race_id, numero, round(error, 6) AS error, 'best' AS side FROM (SELECT * FROM e ORDER BY error, race_id, numero LIMIT 5)
+UNION ALL SELECT race_id, numero, round(error, 6), 'worst' FROM (SELECT * FROM e ORDER BY error DESC, race_id, numero LIMIT 5)"""
+)
+def best_and_worst_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = runners(spark, sf)
+    out = performance.best_and_worst(rows, "pred_b", "position", ["race_id", "numero"])
+    return rounded(out.select("race_id", "numero", "error", "side"))
+
+
+@query(
+    WITH_RUNNERS
+    + """
+SELECT race_id, array_to_string(list(numero ORDER BY position) FILTER (WHERE position <= 7), '-') AS arrival FROM runners GROUP BY race_id"""
+)
+def result_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Results stored as an order string, a JSON list or a JSON document, read as one order."""
+    rows, _ = ranked_runners(spark, sf)
+    order = leading_orders(rows).select("race_id", "a")
+    listed = F.to_json("a")
+    document = F.to_json(
+        F.transform("a", lambda n, i: F.struct((i + 1).cast("string").alias("narrivee"), n.alias("cheval")))
+    )
+    kind = F.col("race_id") % 3
+    stored = F.when(kind == 0, F.array_join("a", "-")).when(kind == 1, listed).otherwise(document)
+    texts = order.select("race_id", stored.alias("text"))
+    return texts.select("race_id", F.array_join(any_order(F.col("text")), "-").alias("arrival"))
