@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import reliable_checkpoint
 
 MAX_GROUP_ROWS = 1_000_000  # rows of one group that one task may sort
+MAX_LAGS = 8
 SMALL_INPUT_BYTES = 256 << 20  # below this no group can be too large for a task
 
 
@@ -162,11 +163,15 @@ def previous_rows(df: DataFrame, group, order: Sequence[Column], values: Sequenc
     """Array of the k preceding rows' ``values`` structs, oldest first."""
     g = as_grouping(df, group)
     item = F.struct(*values)
-    window = Window.partitionBy(*g.keys).orderBy(*order).rowsBetween(-k, -1)
+    window = Window.partitionBy(*g.keys).orderBy(*order)
+    if k <= MAX_LAGS:  # a few lags are cheaper than collecting a sliding frame
+        before = F.array_compact(F.array(*[F.lag(item, i).over(window) for i in range(k, 0, -1)]))
+    else:
+        before = F.collect_list(item).over(window.rowsBetween(-k, -1))
     if g.hot is None:
-        return df.withColumn(name, F.collect_list(item).over(window))
+        return df.withColumn(name, before)
     plain, hot = g.split(df)
-    plain = plain.withColumn(name, F.collect_list(item).over(window))
+    plain = plain.withColumn(name, before)
     # Each row announces itself to its k successors; (key, number) is unique.
     numbered = row_number_within(hot, Grouping(g.keys, g.hot), order, "__no")
     sent = numbered.select(

@@ -136,7 +136,7 @@ c0 AS (
     count(*) FILTER (WHERE rank <= 5 AND position <= 4) AS h4, count(*) FILTER (WHERE rank <= 5 AND position <= 3) AS h3,
     coalesce(array_to_string(list(numero ORDER BY numero) FILTER (WHERE position <= 5 AND rank > 5), ','), '') AS missed_horses,
     coalesce(array_to_string(list(numero ORDER BY numero) FILTER (WHERE rank <= 5 AND position > 5), ','), '') AS false_positives,
-    avg(abs(score - position)) AS mae, bool_or(position <= 5 AND rank > 5 AND odds < 5) AS missed_favorite,
+    round(avg(abs(score - position)), 9) AS mae, bool_or(position <= 5 AND rank > 5 AND odds < 5) AS missed_favorite,
     bool_or(position <= 5 AND rank > 5 AND odds > 20) AS missed_longshot, bool_or(rank <= 5 AND position > 5 AND odds < 5) AS over_weighted_favorite
   FROM r GROUP BY race_id),
 c AS (
