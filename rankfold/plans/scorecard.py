@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.orders import bet_columns, explode_order, order_array, order_scores
+from ..functions.orders import explode_order
 from ..operators import evaluation
 from ..operators.blending import blend
 from ..operators.grouping import row_number_within

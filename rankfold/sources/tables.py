@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.orders import PENDING, order_array
+from ..functions.orders import order_array
 from ..functions.text import handicap_columns
 from ..operators.grouping import first_per_key
 from ..operators.nesting import CHUNK, nest, unnest
