@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,23 @@ from pyspark.sql import functions as F
 from .registry import query, table
 
 SAMPLE_DOCUMENTS = 300
-SAMPLE_CHARACTERS = 2000
-DICTIONARY_BYTES = 1 << 18
-CHUNK_BYTES = 2048
-LEVEL = 3
+SAMPLE_CHARACTERS = 1500
+DICTIONARY_BYTES = 1 << 19
+CHUNK_BYTES = 1024
+# A window as long as a dictionary, and tables small enough to be cleared for every chunk.
+PARAMETERS = zstandard.ZstdCompressionParameters(
+    strategy=zstandard.STRATEGY_GREEDY, window_log=19, hash_log=17, chain_log=16, search_log=3, min_match=4
+)
 MARGIN = 0.01
+EVIDENCE = 40
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower case, with one space for whatever lies between letters."""
+    return _OTHER.sub(" ", text.lower())
 
 
 def held_out() -> F.Column:
@@ -36,7 +47,8 @@ def language_dictionaries(
     Each non-null ``lang`` gives the texts of its ``documents`` smallest hashes, one piece
     of at most ``characters`` from a place that the hash picks; the sample is at most
     languages x documents x characters and goes to the driver. The window keeps the first
-    rows of each task before it shuffles, so a hot language stays small.
+    rows of each task before it shuffles, so a hot language stays small. Languages come
+    in descending number of rows, which decides between equal sizes.
     """
     order = Window.partitionBy("lang").orderBy("draw", "text")
     sample = (
@@ -48,25 +60,26 @@ def language_dictionaries(
         .where(F.col("place") <= documents)
         .select("lang", "place", "text")
     )
-    texts: dict[str, list[str]] = {}
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count()
+    texts: dict[str, list[str]] = {r.lang: [] for r in counts.orderBy(F.desc("count"), "lang").collect()}
     for row in sorted(sample.collect()):
-        texts.setdefault(row.lang, []).append(row.text)
-    return {lang: "\n".join(own).encode()[-size:] for lang, own in texts.items()}
+        texts.setdefault(row.lang, []).append(letters(row.text))
+    return {lang: "\n".join(own).encode()[-size:] for lang, own in texts.items() if own}
 
 
 class Compressors:
     """Compressed size of a text under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, chunk: int = CHUNK_BYTES):
-        self.languages, self.chunk, self.own = sorted(dictionaries), chunk, []
+    def __init__(self, dictionaries: dict[str, bytes], chunk: int = CHUNK_BYTES):
+        self.languages, self.chunk, self.own = list(dictionaries), chunk, []
         for lang in self.languages:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.own.append(zstandard.ZstdCompressor(dict_data=content, level=level, write_content_size=False, write_dict_id=False))
+            content.precompute_compress(compression_params=PARAMETERS)
+            self.own.append(zstandard.ZstdCompressor(dict_data=content, compression_params=PARAMETERS))
 
     def sizes(self, text: str) -> np.ndarray:
         """The whole text in chunks, so that what it repeats itself doesn't hide the dictionary."""
-        data = text.encode("utf-8", "surrogatepass")
+        data = letters(text).encode("utf-8", "surrogatepass")
         chunks = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
         return np.array([sum(len(c.compress(x)) for x in chunks) for c in self.own], dtype=np.float64)
 
@@ -78,11 +91,12 @@ class Compressors:
         if not text or not self.own or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
+        narrow = margin if len(text) >= EVIDENCE else 0.0
         best = int(np.argmin(sizes))
         if len(sizes) == 1:
             return self.languages[0], 1.0, False
         saved = 1.0 - sizes[best] / np.partition(sizes, 1)[1]
-        return self.languages[best], float(min(1.0, 4.0 * saved)), bool(saved < margin)
+        return self.languages[best], float(min(1.0, 4.0 * saved)), bool(saved < narrow)
 
 
 def predictor(dictionaries: dict[str, bytes], margin: float):
@@ -101,9 +115,10 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: f
     """The columns of ``keep`` with lang_pred, score and lang_rejected, from the text alone.
 
     A null text or one without a letter is ``und`` with score 0 and rejected; so is a text
-    whose best dictionary saves less than ``margin`` over the second (its language is
-    still given). Equal sizes take the first language by name. Without any dictionary
-    every text is ``und``. ``keep`` must not name the three new columns.
+    of EVIDENCE characters or more whose best dictionary saves less than ``margin`` over
+    the second (its language is still given; shorter texts are too little to reject them
+    by). Equal sizes take the first dictionary given. Without any dictionary every text is
+    ``und``. ``keep`` must not name the three new columns.
     """
     docs = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[: len(keep)])
