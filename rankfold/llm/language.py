@@ -118,8 +118,10 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: f
     of EVIDENCE characters or more whose best dictionary saves less than ``margin`` over
     the second (its language is still given; shorter texts are too little to reject them
     by). Equal sizes take the first dictionary given. Without any dictionary every text is
-    ``und``. ``keep`` must not name the three new columns.
+    ``und``. Columns of ``keep`` that have a new column's name give
+    way to it.
     """
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "lang_rejected")]
     docs = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[: len(keep)])
     return docs.mapInArrow(predictor(dictionaries, margin), f"{schema}, lang_pred string, score double, lang_rejected boolean")

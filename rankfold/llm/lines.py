@@ -96,8 +96,8 @@ def dedup_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, batches: int
 
     A null or empty text is one empty line. Null ids come last and count as one document.
     Rows that repeat an id are one document for ownership, each with its own lines. An
-    empty table gives no rows. ``docs`` must not have columns of the three new names;
-    others pass through unchanged.
+    empty table gives no rows. Columns that have a new column's name give way to it; others pass
+    through unchanged.
 
     Only hashes move for the decision: keys are combined in the tasks that scan them, a
     line that a third of the documents hold is one row per task, and marking its lines is
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, batches: int
         "array_join(transform(array_except(sequence(0, size(__lines) - 1), __dropped), i -> element_at(__lines, i + 1)), '\\n')"
     )
     return joined.withColumn("__lines", _lines()).select(
-        *docs.columns,
+        *[c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")],
         F.size("__lines").cast("long").alias("n_lines"),
         F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias("n_dropped"),
         F.when(F.col("__dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),

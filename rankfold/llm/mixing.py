@@ -53,51 +53,66 @@ def source_targets(totals: DataFrame) -> DataFrame:
     )
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, its source's size and target, copies and taken.
+def _copies(draw) -> F.Column:
+    """floor(rate) copies, and one more if the draw is below the fraction."""
+    return F.floor("rate") + (draw < (F.col("rate") - F.floor("rate")) * 4294967296.0).cast("long")
 
-    A source's rate is target / size; a document is copied floor(rate) times, and once
-    more if its hash is below the fraction. Of SEEDS hashes, a source uses the one that
-    brings its words nearest to its target (the first of equals), found in the one pass
-    that sums them, so results repeat exactly. Null sources are one source, the last.
-    Null and empty texts have size 0 and take nothing of a target. Null ids share one
-    draw, as do repeated ids. An empty table gives no rows.
 
-    Documents are reduced to id, source and size before anything moves; the sums of a hot
-    source are combined in the tasks that scan it.
+def source_rates(small: DataFrame) -> DataFrame:
+    """(mixed, source_size, target, rate, seed) of each source, from (doc_id, source, size) rows.
+
+    A rate is target / size. Of SEEDS hashes, a source uses the one that brings its words
+    nearest to its target (the first of equals), found in the pass that sums them all.
     """
-    small = staged(sizes(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "size"), "mix-sizes")
     totals = small.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     )
-    joined = small.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
-    copies = lambda draw: F.floor("rate") + (draw < (F.col("rate") - F.floor("rate")) * 4294967296.0).cast("long")
-    drawn = joined.select("doc_id", "source", "size", "source_size", "target", "rate", *[copies(d).alias(f"c{i}") for i, d in enumerate(draws())])
-    off = lambda i: F.abs(F.sum(F.col(f"c{i}") * F.col("size")) - F.first("target"))
-    seeds = drawn.groupBy("source").agg(*[off(i).alias(f"o{i}") for i in range(SEEDS)])
+    targets = staged(targets.withColumnRenamed("source", "mixed"), "mix-targets")
+    joined = small.join(targets, F.col("source").eqNullSafe(F.col("mixed")))
+    off = lambda draw: F.abs(F.sum(_copies(draw) * F.col("size")) - F.first("target"))
+    seeds = joined.groupBy("mixed").agg(*[off(draw).alias(f"o{i}") for i, draw in enumerate(draws())])
     offs = F.array(*[F.col(f"o{i}") for i in range(SEEDS)])
-    seeds = seeds.select(F.col("source").alias("seeded"), F.array_position(offs, F.array_min(offs)).cast("int").alias("seed"))
-    return drawn.join(seeds, F.col("source").eqNullSafe(F.col("seeded"))).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        F.element_at(F.array(*[F.col(f"c{i}") for i in range(SEEDS)]), F.col("seed")).alias("copies"),
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    seeds = seeds.select(F.col("mixed").alias("seeded"), (F.array_position(offs, F.array_min(offs)) - 1).cast("int").alias("seed"))
+    return staged(targets.join(seeds, F.col("mixed").eqNullSafe(F.col("seeded"))).drop("seeded"), "mix-rates")
+
+
+def _small(docs: DataFrame) -> DataFrame:
+    return staged(sizes(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "size"), "mix-sizes")
+
+
+def _chosen() -> F.Column:
+    return F.element_at(F.array(*draws()), F.col("seed") + 1)
+
+
+def mix_plan(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, source, size, its source's size and target, copies and taken.
+
+    Null sources are one source, the last. Null and empty texts have size 0 and take
+    nothing of a target. Null ids share one draw, as do repeated ids. An empty table gives
+    no rows. Results depend on ids and sizes alone, so reruns agree.
+
+    Documents are reduced to id, source and size before anything moves; the sums of a hot
+    source are combined in the tasks that scan it. The table of rates has one row per
+    source, and its join is a broadcast only if its measured size allows.
+    """
+    small = _small(docs)
+    joined = small.join(source_rates(small), F.col("source").eqNullSafe(F.col("mixed")))
+    copies = joined.withColumn("copies", _copies(_chosen()))
+    return copies.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of the mix: every document as often as its source's rate says.
+    """The rows of the mix: every document as often as its copies in ``mix_plan``.
 
-    A join on id and source brings the number of copies to the documents; repeated rows
-    are copied each. Columns and their order are those of ``docs``.
+    Only the rates move to the documents. Columns and their order are those of ``docs``;
+    the rules for nulls and repeated rows are those of ``mix_plan``.
     """
-    plan = mix_plan(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    own = docs.alias("d").join(plan, F.col("d.doc_id").eqNullSafe(F.col("__id")) & F.col("d.source").eqNullSafe(F.col("__source")))
-    own = own.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return own.select("d.*")
+    rates = source_rates(_small(docs)).select(F.col("mixed").alias("__source"), F.col("rate").alias("__rate"), F.col("seed").alias("__seed"))
+    own = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    draw = F.element_at(F.array(*draws()), F.col("__seed") + 1)
+    copies = F.floor("__rate") + (draw < (F.col("__rate") - F.floor("__rate")) * 4294967296.0).cast("long")
+    return own.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
 
 
 @query(
