@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.orders import overlap
-from .grouping import Grouping, row_number_within
+from .grouping import Grouping, join_on, row_number_within
 
 # Failure weights, odds limits and thresholds of the advice.
 FAILURE_WEIGHTS = {"quinte_desordre_miss": 10.0, "bonus_4_miss": 5.0, "bonus_3_miss": 3.0, "high_mae": 2.0, "success": 1.0}
@@ -118,7 +118,7 @@ def distribution(races: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
     counts = races.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
     totals = races.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     if by:
-        joined = counts.join(totals, list(by))
+        joined = join_on(counts, totals, list(by))
         return joined.withColumn("share", F.col("n") / F.col("total")).drop("total")
     return counts.withColumn("share", F.col("n") / totals.scalar())
 
@@ -190,7 +190,7 @@ def baseline_rates(races: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def weighted_rows(df: DataFrame, races: DataFrame, race: Sequence[str]) -> DataFrame:
     """Runner rows carrying the failure weight of their race."""
-    return df.join(races.select(*race, "failure_weight", "failure_type"), list(race))
+    return join_on(df, races.select(*race, "failure_weight", "failure_type"), list(race))
 
 
 def hard_examples(df: DataFrame, races: DataFrame, race: str, share: float = 0.2) -> DataFrame:

@@ -27,6 +27,17 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on key columns where null equals null; the columns are those of ``left``, then the rest of ``right``."""
+    names = {k: f"__on_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    match = F.lit(True)
+    for k, other in names.items():
+        match = match & F.col(k).eqNullSafe(F.col(other))
+    joined = left.join(renamed, match, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
+
+
 @dataclass(frozen=True)
 class Grouping:
     """Key columns plus the keys whose groups exceed the row limit (if any)."""
@@ -36,20 +47,20 @@ class Grouping:
 
     @classmethod
     def measure(cls, df: DataFrame, *keys: str, max_rows: int | None = None) -> Grouping:
-        """Count the groups once; skip the count when the whole input is small."""
+        """Count the groups once; skip the count when the whole input is small.
+
+        Hot keys, a null one too, stay a table in the shared folder.
+        """
         limit = MAX_GROUP_ROWS if max_rows is None else max_rows
         if max_rows is None and input_bytes(df) <= SMALL_INPUT_BYTES:
             return cls(tuple(keys))
-        large = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-        found = large.collect()  # at most rows / limit keys
-        if not found:
-            return cls(tuple(keys))
-        return cls(tuple(keys), df.sparkSession.createDataFrame(found, large.schema))
+        large = reliable_checkpoint(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
+        return cls(tuple(keys), None if large.isEmpty() else large)
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of ordinary groups, rows of hot groups)."""
-        hot = F.broadcast(self.hot)
-        return df.join(hot, list(self.keys), "left_anti"), df.join(hot, list(self.keys), "left_semi")
+        keys = [k for k in self.keys if k in self.hot.columns]
+        return join_on(df, self.hot, keys, "left_anti"), join_on(df, self.hot, keys, "left_semi")
 
     def with_keys(self, *extra: str) -> Grouping:
         """Finer grouping below the same keys; hotness is inherited."""
@@ -83,9 +94,9 @@ def _running_before(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
         .select(*keys, "__slice", F.coalesce(F.sum("__total").over(by_slice), F.lit(0)).alias("__start"))
     )
     inside = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = sliced.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     return (
-        sliced.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
-        .join(starts, [*keys, "__slice"])
+        join_on(counted, starts, [*keys, "__slice"])
         .withColumn("__before", F.col("__start") + F.col("__inside"))
         .drop("__slice", "__weight", "__inside", "__start")
     )
@@ -143,7 +154,7 @@ def with_group_stats(df: DataFrame, group, **aggregates: Column) -> DataFrame:
     # Partial aggregation shrinks a hot group before the shuffle; the adaptive
     # skew join splits its rows when the one-row statistics are joined back.
     stats = df.groupBy(*g.keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    return df.join(stats, list(g.keys), "left")
+    return join_on(df, stats, g.keys, "left")
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
@@ -184,7 +195,7 @@ def previous_rows(df: DataFrame, group, order: Sequence[Column], values: Sequenc
         F.transform(F.array_sort(F.collect_list(F.struct("__from", "__item"))), lambda s: s["__item"]).alias(name)
     )
     hot = (
-        numbered.join(got, [*g.keys, "__no"], "left")
+        join_on(numbered, got, [*g.keys, "__no"], "left")
         .withColumn(name, F.coalesce(F.col(name), F.array().cast(plain.schema[name].dataType)))
         .drop("__no")
     )
@@ -209,7 +220,7 @@ def quantiles_within(
     # Equal values are counted before the shuffle, then found by cumulative count.
     values = hot.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(often).alias("__n"))
     totals = values.groupBy(*keys).agg(F.sum("__n").alias("__size"))
-    placed = _running_before(values, keys, [F.col(value).asc()], F.col("__n")).join(totals, keys)
+    placed = join_on(_running_before(values, keys, [F.col(value).asc()], F.col("__n")), totals, keys)
     at = placed.select(*keys, value, "__before", "__n", "__size", F.posexplode(wanted).alias("__i", "__p"))
     target = F.col("__p") * (F.col("__size") - 1)
     holds = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
@@ -222,5 +233,9 @@ def quantiles_within(
     hot = picked.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", point.alias("v")))), lambda s: s["v"]).alias(name)
     )
-    hot = hot.join(F.broadcast(g.hot), keys, "right")
-    return plain.unionByName(hot)
+    return plain.unionByName(join_on(hot_keys(g, df), hot, keys, "left"))
+
+
+def hot_keys(g: Grouping, df: DataFrame) -> DataFrame:
+    """The groups of ``df`` under the hot keys, also those of finer groupings."""
+    return g.split(df.select(*g.keys).distinct())[1]

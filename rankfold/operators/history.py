@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, flag, ratio
-from .grouping import as_grouping, previous_rows, top_k
+from .grouping import as_grouping, join_on, previous_rows, top_k
 
 # Neutral priors for an entity without history.
 NEUTRAL_POSITION = 10.0
@@ -36,7 +36,7 @@ def asof_totals(df: DataFrame, group, day: str, **measures: Column) -> DataFrame
     daily = df.groupBy(*g.keys, day).agg(*[F.sum(m).alias(name) for name, m in measures.items()])
     earlier = Window.partitionBy(*g.keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     totals = daily.select(*g.keys, day, *[F.sum(name).over(earlier).alias(name) for name in measures])
-    return df.join(totals, [*g.keys, day], "left")
+    return join_on(df, totals, [*g.keys, day], "left")
 
 
 def asof_last_day(df: DataFrame, group, day: str, name: str) -> DataFrame:
@@ -48,7 +48,7 @@ def asof_last_day(df: DataFrame, group, day: str, name: str) -> DataFrame:
         number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
         earlier = Window.partitionBy(*g.keys).orderBy(number).rangeBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.max(day).over(earlier))
-    return df.join(lagged, [*g.keys, day], "left")
+    return join_on(df, lagged, [*g.keys, day], "left")
 
 
 def career_totals(df: DataFrame, horse, day: str, position: str, earnings: str) -> DataFrame:
@@ -198,7 +198,7 @@ def fill_age(df: DataFrame, horse, order: Sequence[Column], age: str = "age", de
         F.first("__first", True).over(by_block.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
     )
     inside = Window.partitionBy(*g.keys, "__block").orderBy("__no")
-    filled = blocked.join(edges, [*g.keys, "__block"], "left").withColumn(
+    filled = join_on(blocked, edges, [*g.keys, "__block"], "left").withColumn(
         age,
         F.coalesce(
             F.last(age, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import as_grouping, quantiles_within
+from .grouping import as_grouping, join_on, quantiles_within
 
 # Average prize per race type, and the limits of each rule.
 WIN_PRIZE = {"Plat": 50_000, "Haies": 40_000, "Steeple": 45_000, "A": 35_000, "M": 30_000}
@@ -30,7 +30,7 @@ def field_median(df: DataFrame, group, earnings: str, starts: str, name: str = "
     rows = df.select(*g.keys, valid.alias("__v"))
     counts = rows.groupBy(*g.keys).agg(F.count("__v").alias("__n"))
     medians = quantiles_within(rows, g, "__v", [0.5], "__m")
-    return counts.join(medians, list(g.keys)).select(
+    return join_on(counts, medians, g.keys).select(
         *g.keys, F.when(F.col("__n") >= MIN_MEDIAN_RUNNERS, F.get("__m", 0)).alias(name)
     )
 
@@ -44,7 +44,7 @@ def field_mean_earnings(df: DataFrame, group, earnings: str, starts: str, name:
     counts = rows.groupBy(*g.keys).agg(F.count("__v").alias("__n"))
     medians = quantiles_within(rows, g, "__v", [0.5], "__m")
     enough = F.when(F.col("__n") >= FIELD_MEAN_RUNNERS, F.get("__m", 0))
-    return counts.join(medians, list(g.keys)).select(*g.keys, F.coalesce(enough, F.lit(FIELD_MEAN_DEFAULT)).alias(name))
+    return join_on(counts, medians, g.keys).select(*g.keys, F.coalesce(enough, F.lit(FIELD_MEAN_DEFAULT)).alias(name))
 
 
 def impute_earnings(
@@ -64,7 +64,7 @@ def impute_earnings(
         .otherwise(0)
         .cast("double")
     )
-    return df.join(medians, list(g.keys), "left").withColumn(name, value)
+    return join_on(df, medians, g.keys, "left").withColumn(name, value)
 
 
 def imputation_counts(df: DataFrame, earnings: str, wins: str, places: str, starts: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import correlation
-from .grouping import as_grouping, quantiles_within, top_k
+from .grouping import as_grouping, join_on, quantiles_within, top_k
 
 
 def _count(condition: Column) -> Column:
@@ -81,7 +81,7 @@ def race_summary(df: DataFrame, race: Sequence[str], kind: str, ensemble: str, f
     kinds = df.groupBy(*race, kind).count().groupBy(*race).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "count")))).alias("advantage_types")
     )
-    return stats.join(kinds, list(race), "left")
+    return join_on(stats, kinds, list(race), "left")
 
 
 def table_stats(df: DataFrame, race: str, day: str, actual: str) -> DataFrame:
@@ -202,7 +202,7 @@ def race_insights(df: DataFrame, race: Sequence[str], kind: str, strength: str,
     )
     top = named([F.col(adjustment).desc(), F.col(numero).asc()], 3, "top_contenders")
     bottom = named([F.col(adjustment).asc(), F.col(numero).desc()], 2, "bottom_contenders")
-    return stats.join(top, list(race)).join(bottom, list(race))
+    return join_on(join_on(stats, top, list(race)), bottom, list(race))
 
 
 def spread_compression(df: DataFrame, group, score: str) -> DataFrame:

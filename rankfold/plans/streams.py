@@ -70,12 +70,11 @@ SELECT user_id, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"""
 )
 def stream_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyed table of the newest record per user, fed in several deliveries."""
+    """Keyed table of the newest record per user, fed in deliveries that arrive newest first."""
     source = table(spark, sf, "events").select("user_id", "event_id", "ts", "value", (F.col("user_id") % 8).alias("bucket"))
     path = stage_path(spark, "deliveries")
-    # Deliveries follow the time order; each becomes its own file and batch.
-    for first, last in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2999-01-01")):
-        source.where((F.col("ts") >= first) & (F.col("ts") < last)).coalesce(1).write.mode("append").parquet(path)
+    for first, last in (("2024-01-21", "2999-01-01"), ("2024-01-11", "2024-01-21"), ("2024-01-01", "2024-01-11")):
+        source.where((F.col("ts") >= first) & (F.col("ts") < last)).write.mode("append").parquet(path)
     stream = feed.landed(
         spark, path, "user_id bigint, event_id bigint, ts timestamp, value double, bucket bigint", "parquet", files_per_batch=1
     )
@@ -127,8 +126,8 @@ SELECT day, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS mea
 )
 def stream_rolling_health(spark: SparkSession, sf: str) -> DataFrame:
     stream = events_stream(spark, sf).withColumn("actual", F.col("user_id") / 10)
-    windows = feed.rolling_health(stream, "ts", "value", "actual")
-    return rounded(latest_batches(windows, "health", ["day"]))
+    daily = latest_batches(feed.daily_errors(stream, "ts", "value", "actual"), "health", ["day"])
+    return rounded(feed.rolling_health(daily))
 
 
 @query("SELECT user_id, count(*) AS starts, count(*) FILTER (WHERE event_type = 'purchase') AS wins, round(sum(value), 4) AS earnings FROM events GROUP BY user_id")
@@ -142,6 +141,31 @@ def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feed.read_totals(spark, path, "user_id", ["starts", "wins", "earnings"]), 4)
 
 
+@query(
+    """
+SELECT comp, jour, value FROM (
+  SELECT user_id AS comp, CAST(ts AS DATE) AS jour, value,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003 DESC, event_id DESC) AS k FROM events) WHERE k = 1"""
+)
+def ingest_redelivered(spark: SparkSession, sf: str) -> DataFrame:
+    """Races delivered several times, in one batch and across batches, on changing days: the last delivery stays."""
+    number = F.struct((F.col("event_id") * 7919 % 1000003).alias("a"), F.col("event_id").alias("b"))
+    source = table(spark, sf, "events").select(
+        F.col("user_id").alias("comp"), F.to_date("ts").alias("jour"), "value", number.alias("delivered")
+    )
+    path = stage_path(spark, "redelivered")
+    for half in (1, 0):
+        source.where(F.col("delivered.b") % 2 == half).write.mode("append").parquet(path)
+    stream = feed.landed(
+        spark, path, "comp bigint, jour date, value double, delivered struct<a: bigint, b: bigint>", "parquet", files_per_batch=8
+    )
+    out = stage_path(spark, "redelivered-races")
+    feed.ingest_races(
+        stream, lambda rows: rows, out, feed.checkpoint_path(spark, "redelivered"), delivered="delivered"
+    ).awaitTermination()
+    return spark.read.parquet(out).select("comp", "jour", "value")
+
+
 @query(
     """
 SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first_day FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-15' GROUP BY event_type"""

@@ -455,6 +455,39 @@ def upsert_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.drop("version"), 4)
 
 
+@query(
+    """
+SELECT o_orderkey AS comp, round(CASE WHEN o_orderpriority LIKE '1%' THEN 2 * o_totalprice ELSE o_totalprice END, 4) AS cheque,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders"""
+)
+def upsert_null_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Races without a day are kept and updated like others."""
+    orders = table(spark, sf, "orders").withColumn("year", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")))
+    row = lambda factor, version: [
+        F.col("o_orderkey").alias("comp"), (F.col("o_totalprice") * factor).alias("cheque"), F.lit(version).alias("version"), "year"
+    ]
+    path = tables.stage_path(spark, "races")
+    tables.upsert(orders.select(*row(1, 1)), path, ["comp"], [F.desc("version")], "year")
+    second = orders.where(F.col("o_orderpriority").startswith("1")).select(*row(2, 2))
+    return rounded(tables.upsert(second, path, ["comp"], [F.desc("version")], "year").drop("version"), 4)
+
+
+@query(
+    """
+SELECT o_orderkey AS comp, CAST(CASE WHEN o_orderpriority LIKE '1%' OR year(o_orderdate) = 1998 THEN 2001 ELSE year(o_orderdate) END AS INTEGER) AS year,
+  CAST(CASE WHEN o_orderpriority LIKE '1%' OR year(o_orderdate) = 1998 THEN 5 ELSE 3 END AS INTEGER) AS version FROM orders"""
+)
+def upsert_moved_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Races whose day is corrected leave the old day, a whole day too; an older version changes nothing."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("comp"), F.year("o_orderdate").alias("year"), "o_orderpriority")
+    row = lambda rows, year, version: rows.select("comp", year.alias("year"), F.lit(version).alias("version"))
+    path = tables.stage_path(spark, "races")
+    tables.upsert(row(orders, F.col("year"), 3), path, ["comp"], [F.desc("version")], "year")
+    moved = orders.where(F.col("o_orderpriority").startswith("1") | (F.col("year") == 1998))
+    tables.upsert(row(moved, F.lit(2001), 5), path, ["comp"], [F.desc("version")], "year")
+    return tables.upsert(row(orders, F.lit(1970), 2), path, ["comp"], [F.desc("version")], "year")
+
+
 @query(
     WITH_FIELD
     + """

@@ -11,10 +11,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.orders import order_array
 from ..functions.text import handicap_columns
-from ..operators.grouping import first_per_key
+from ..operators.grouping import first_per_key, join_on
 from ..operators.nesting import CHUNK, nest, unnest
 from ..session import shared_folder
 from .races import known_result, positions_of_orders
@@ -25,11 +26,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None before the first write."""
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.option("mergeSchema", True).parquet(path) if files.exists(hadoop_path) else None
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def existing(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The stored table, or None before the first write; a given schema spares reading all footers."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return None
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
+    return reader.parquet(path)
 
 
 def write_partitions(df: DataFrame, path: str, partition: str) -> None:
@@ -43,27 +51,60 @@ def write_partitions(df: DataFrame, path: str, partition: str) -> None:
     )
 
 
-def latest_rows(old: DataFrame | None, new: DataFrame, keys: Sequence[str], version: Sequence[Column]) -> DataFrame:
-    """Old and new rows, one per key: new rows win, then the highest version."""
+def latest_rows(
+    old: DataFrame | None, new: DataFrame, keys: Sequence[str], version: Sequence[Column], replace: bool = False
+) -> DataFrame:
+    """Old and new rows, one per key: the first by ``version``, of equal ones the new row.
+
+    With ``replace`` a new row wins whatever its version.
+    """
     rows = new.withColumn("__new", F.lit(1))
     if old is not None:
         rows = rows.unionByName(old.withColumn("__new", F.lit(0)), allowMissingColumns=True)
-    return first_per_key(rows, keys, [F.desc("__new"), *version]).drop("__new")
-
-
-def upsert(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[Column], partition: str) -> DataFrame:
+    newer = F.desc("__new")
+    return first_per_key(rows, keys, [newer, *version] if replace else [*version, newer]).drop("__new")
+
+
+def upsert(
+    new: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    version: Sequence[Column],
+    partition: str,
+    replace: bool = False,
+    schema: StructType | None = None,
+) -> DataFrame:
     """Keyed upsert into a partitioned table; reads and rewrites only touched partitions.
 
-    The partition is a function of the key (a race has one day), so an older copy
-    of a row is in the same partition.
+    Touched are the partitions of the new rows and those that hold an older row of their
+    keys, so a race whose day is corrected moves. A null partition is one like others. The
+    rewritten partitions are staged first, as a partition left empty is removed after the
+    write. The driver receives one value per touched partition. ``schema`` is the stored
+    table's; without it the footers of all files are read for columns added later.
     """
     spark = new.sparkSession
-    old = existing(spark, path)
-    if old is not None:
-        touched = [r[0] for r in new.select(partition).distinct().collect()]  # one value per day of the batch
-        old = old.where(F.col(partition).isin(*touched))
-    write_partitions(latest_rows(old, new, keys, version), path, partition)
-    return spark.read.option("mergeSchema", True).parquet(path)
+    old = existing(spark, path, schema)
+    if old is None:
+        write_partitions(latest_rows(None, new, keys, version, replace), path, partition)
+        return spark.read.schema(new.schema).parquet(path)
+    old = old.withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
+    moved = join_on(old.select(*keys, partition), new.select(*keys), keys, "left_semi").select(partition)
+    touched = [r[0] for r in new.select(partition).union(moved).distinct().collect()]
+    known = [v for v in touched if v is not None]
+    hit = F.col(partition).isin(*known) if known else F.lit(False)
+    old = old.where(hit | F.col(partition).isNull() if None in touched else hit)
+    staged = stage_path(spark, "upsert")
+    rows = latest_rows(old, new, keys, version, replace)
+    rows.write.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    write_partitions(rows, path, partition)
+    filled = {r[0] for r in rows.select(partition).distinct().collect()}
+    for value in touched:
+        if value not in filled:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+            files, folder = _file_system(spark, f"{path}/{partition}={name}")
+            files.delete(folder, True)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def race_rows(races: DataFrame, runners: DataFrame, key: str, number: str, fields: Sequence[str], handicap: str | None = None) -> DataFrame:

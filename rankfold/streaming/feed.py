@@ -63,9 +63,20 @@ def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Se
 
 
 def ingest_races(
-    feed: DataFrame, convert: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "comp", day: str = "jour", supplement: DataFrame | None = None
+    feed: DataFrame,
+    convert: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    key: str = "comp",
+    day: str = "jour",
+    supplement: DataFrame | None = None,
+    delivered: str | None = None,
 ) -> StreamingQuery:
-    """Feed rows → converted race rows → table keyed by race; a supplement fills gaps by a stream–static join."""
+    """Feed rows → converted race rows → table keyed by race; a supplement fills gaps by a stream–static join.
+
+    ``delivered`` names the converted rows' delivery time: the latest delivery of a race
+    stays. Without it a batch replaces what is stored and must hold a race once.
+    """
     from ..sources.races import fill_from
 
     def write(batch: DataFrame, _: int) -> None:
@@ -73,7 +84,8 @@ def ingest_races(
         if supplement is not None:
             rows = fill_from(rows, supplement, [key])
         if not rows.isEmpty():
-            upsert(rows, path, [key], [F.asc(key)], day)
+            version = [F.desc_nulls_last(delivered)] if delivered else []
+            upsert(rows, path, [key], version or [F.asc(key)], day, replace=delivered is None)
 
     return drain(feed, write, checkpoint)
 
@@ -108,14 +120,28 @@ def late_results(
     return p.join(r, on, "leftOuter").drop(*[f"__{k}" for k in keys])
 
 
-def rolling_health(stream: DataFrame, ts: str, predicted: str, actual: str, length: str = "30 days", step: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """MAE and mean error over sliding windows, one window per step."""
+def daily_errors(stream: DataFrame, ts: str, predicted: str, actual: str, delay: str = "1 day") -> DataFrame:
+    """Number of errors, their sum and the sum of their sizes per day."""
     error = F.col(predicted) - F.col(actual)
     return (
         stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, length, step))
-        .agg(F.count(error).alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("mean_error"))
-        .select(F.col("window.end").cast("date").alias("day"), "n", "mae", "mean_error")
+        .groupBy(F.window(ts, "1 day"))
+        .agg(F.count(error).alias("n"), F.sum(F.abs(error)).alias("off"), F.sum(error).alias("error"))
+        .select(F.col("window.start").cast("date").alias("day"), "n", "off", "error")
+    )
+
+
+def rolling_health(daily: DataFrame, length: int = 30) -> DataFrame:
+    """MAE and mean error of the ``length`` days before each day, from the days of :func:`daily_errors`.
+
+    One row per day is copied ``length`` times, never a record.
+    """
+    ends = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", length)))
+    return (
+        daily.select(ends.alias("day"), "n", "off", "error")
+        .groupBy("day")
+        .agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.sum("error").alias("error"))
+        .select("day", "n", F.try_divide("off", "n").alias("mae"), F.try_divide("error", "n").alias("mean_error"))
     )
 
 
@@ -154,12 +180,17 @@ def unseen(rows: DataFrame, day: str, marks: DataFrame | None) -> DataFrame:
 
 
 def incremental_run(rows: DataFrame, day: str, path: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Process the unseen days once, record the days done, and return the result."""
+    """Process the unseen days once, and record them as done after the result is stored.
+
+    The result is written to the shared folder first; a run that fails before that leaves
+    its days unseen.
+    """
     spark = rows.sparkSession
     fresh = unseen(rows, day, existing(spark, path))
-    out = process(fresh)
+    done = stage_path(spark, "incremental")
+    process(fresh).write.parquet(done)
     fresh.select(day).distinct().write.mode("append").parquet(path)
-    return out
+    return spark.read.parquet(done)
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
