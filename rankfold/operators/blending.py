@@ -213,5 +213,5 @@ def weight_patterns(
         "winner_accuracy",
         gain.alias("improvement_vs_overall"),
         "total_races",
-        F.when(shift >= min_shift, "Use custom weights").otherwise("Overall weights work well").alias("recommendation"),
+        F.when(shift >= min_shift, "own_weight").otherwise("overall_weight").alias("recommendation"),
     )

@@ -10,12 +10,13 @@ from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, correlation
+from ..session import reliable_checkpoint
 from .cleaning import category_codes
+from .quality import correlated_pairs
 
 # Model settings and limits.
 GBT_SETTINGS = {"maxIter": 150, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
@@ -46,8 +47,8 @@ def race_split(df: DataFrame, race: str, test: float = 0.2, validation: float =
 class FeatureSelector:
     """Drops constant, sparse and correlated columns; keeps the most important of the rest.
 
-    Statistics come from one pass and one distributed correlation matrix; the
-    greedy choice works on the matrix, whose size is columns squared.
+    Statistics come from one pass and pairwise correlations from another, each over the
+    rows where both columns are known; the driver receives the pairs above the limit.
     """
 
     sparse_threshold: float = 0.7
@@ -82,18 +83,14 @@ class FeatureSelector:
         return self
 
     def _correlated(self, df: DataFrame, columns: list[str]) -> list[str]:
-        vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        )
-        matrix = abs(Correlation.corr(vectors, "v").first()[0].toArray())
-        gone: list[str] = []
-        for j, current in enumerate(columns):
-            for i in range(j):
-                other = columns[i]
-                if current in gone or other in gone or not matrix[i, j] > self.correlation_threshold:
-                    continue
-                gone.append(current if self._priority(current) < self._priority(other) else other)
-        return gone
+        place = {c: i for i, c in enumerate(columns)}
+        pairs = correlated_pairs(df, columns, self.correlation_threshold).collect()
+        gone: dict[str, None] = {}
+        for first, second, _ in sorted(pairs, key=lambda p: (place[p[1]], place[p[0]])):
+            if gone.keys().isdisjoint((first, second)):
+                weaker = min((first, second), key=lambda c: (self._priority(c), place[c]))
+                gone[weaker] = None
+        return list(gone)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         missing = [c for c in self.selected if c not in df.columns]
@@ -294,13 +291,14 @@ def fit_isotonic(df: DataFrame, score: str, actual: str, digits: int = 4):
 
 
 def apply_isotonic(df: DataFrame, model, score: str, name: str) -> DataFrame:
-    """Calibrated score within the position range; without a model the raw score."""
+    """Calibrated score within the position range, null where the score is; without a model the raw score."""
     if model is None:
         return df.withColumn(name, F.col(score))
-    features = VectorAssembler(inputCols=["__x"], outputCol="features", handleInvalid="skip")
+    features = VectorAssembler(inputCols=["__x"], outputCol="features", handleInvalid="keep")
     rows = features.transform(df.withColumn("__x", F.col(score).cast("double")))
     out = model.transform(rows)
-    return out.select(*df.columns, clamp(F.col("prediction"), *POSITION_RANGE).alias(name))
+    known = F.col("__x").isNotNull() & ~F.isnan("__x")
+    return out.select(*df.columns, F.when(known, clamp(F.col("prediction"), *POSITION_RANGE)).alias(name))
 
 
 def calibration_metadata(df: DataFrame, score: str, calibrated: str, actual: str, updated: Column | None = None) -> DataFrame:
@@ -368,22 +366,22 @@ class ResidualModels:
     overall: PipelineModel | None = None
     by_kind: dict[str, PipelineModel] = field(default_factory=dict)
 
-    def fit(self, df: DataFrame, max_kinds: int = 50, **settings) -> ResidualModels:
-        rows = df.withColumn("__error", F.col(self.actual) - F.col(self.predicted))
+    def fit(self, df: DataFrame, **settings) -> ResidualModels:
         inputs = [*self.columns, self.predicted]
+        error = (F.col(self.actual) - F.col(self.predicted)).alias("__error")
+        rows = reliable_checkpoint(df.select(*inputs, self.kind, error))  # read once per model
         options = {**RESIDUAL_SETTINGS, **settings}
         self.overall = fit_forest(rows, inputs, "__error", **options)
-        counts = df.groupBy(self.kind).count().where(F.col("count") >= MIN_TYPE_ROWS)
-        # Race types are a short fixed list; each model is fitted on the cluster.
-        kinds = [r[0] for r in counts.orderBy(F.desc("count"), self.kind).limit(max_kinds + 1).collect() if r[0] is not None]
-        if len(kinds) > max_kinds:
-            raise ValueError(f"{self.kind} has more than {max_kinds} values")
+        counts = rows.where(F.col(self.kind).isNotNull()).groupBy(self.kind).count().where(F.col("count") >= MIN_TYPE_ROWS)
+        # One model, and one value on the driver, per race type; each model is fitted on the cluster.
+        kinds = [r[0] for r in counts.orderBy(F.desc("count"), self.kind).collect()]
         self.by_kind = {k: fit_forest(rows.where(F.col(self.kind) == k), inputs, "__error", **options) for k in kinds}
         return self
 
     def transform(self, df: DataFrame, name: str = "corrected_prediction") -> DataFrame:
         """Base prediction plus residual, at least 1; unknown types use the overall model."""
         inputs = [*self.columns, self.predicted]
+        df = reliable_checkpoint(df)
         parts = [
             predict(model, df.where(F.col(self.kind) == k), inputs, "__residual") for k, model in self.by_kind.items()
         ]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import correlation
 from .cleaning import NUMERIC_TYPES
+from ..session import reliable_checkpoint
 from .grouping import Grouping, quantiles_within
 
 # Thresholds of the audit and words that hint at leakage.
@@ -28,11 +31,29 @@ def unpivot(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, F.inline(pairs))
 
 
+def weighted_moments(counts: DataFrame) -> DataFrame:
+    """(column, mean, std, skewness, kurtosis) from (column, value, n) rows; central sums follow the means."""
+    known = counts.where(F.col("value").isNotNull())
+    means = known.groupBy("column").agg(F.sum("n").alias("__n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    away = F.col("value") - F.col("mean")
+    sums = known.join(means, "column").groupBy("column", "mean", "__n").agg(
+        *[F.sum(F.pow(away, k) * F.col("n")).alias(f"__m{k}") for k in (2, 3, 4)]
+    )
+    n, m2 = F.col("__n"), F.col("__m2")
+    return sums.select(
+        "column",
+        "mean",
+        F.sqrt(F.try_divide(m2, n - 1)).alias("std"),
+        F.try_divide(F.sqrt(n) * F.col("__m3"), F.pow(m2, 1.5)).alias("skewness"),
+        (F.try_divide(n * F.col("__m4"), m2 * m2) - 3).alias("kurtosis"),
+    )
+
+
 def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: counts, moments, distinct share, most common value, quartiles, outliers, zeros."""
     long = unpivot(df, columns)
     # Each value of a column is counted once before anything is shuffled further.
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = reliable_checkpoint(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     v, n = F.col("value"), F.col("n")
     stats = counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
@@ -45,12 +66,7 @@ def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max_by(v, F.when(v.isNotNull(), F.struct(n, -v))).alias("most_common"),
         F.max(F.when(v.isNotNull(), n)).alias("most_common_count"),
     )
-    moments = long.groupBy("column").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.skewness("value").alias("skewness"),
-        F.kurtosis("value").alias("kurtosis"),
-    )
+    moments = weighted_moments(counts)
     by_column = Grouping.measure(counts, "column")
     quartiles = quantiles_within(counts, by_column, "value", [0.25, 0.5, 0.75], "q", "n").select(
         "column",
@@ -84,18 +100,18 @@ def audit_flags(audit: DataFrame) -> DataFrame:
     for w in LEAKAGE_WORDS:
         words = words | F.contains(name, F.lit(w))
     checks = (
-        ("constant", "high", "Remove (no variance)", F.col("distinct") == 1),
-        ("missing", "high", "Remove or impute (>50% missing)", F.col("missing_pct") > HIGH_MISSING),
-        ("all_zeros", "high", "Remove (not calculated)", F.col("zero_pct") == 100),
-        ("skewed", "medium", "Apply log/sqrt transform", F.abs("skewness") > SKEW_LIMIT),
-        ("leakage", "high", "Verify not using future data", words),
+        ("constant", "high", "drop_constant", F.col("distinct") == 1),
+        ("missing", "high", "drop_or_fill", F.col("missing_pct") > HIGH_MISSING),
+        ("all_zeros", "high", "drop_empty", F.col("zero_pct") == 100),
+        ("skewed", "medium", "compress_scale", F.abs("skewness") > SKEW_LIMIT),
+        ("leakage", "high", "check_time", words),
         (
-            "low_variance", "low", "Check the encoding",
+            "low_variance", "low", "check_codes",
             (F.col("distinct") > 1) & (F.col("distinct_pct") / 100 < LOW_VARIANCE),
         ),
-        ("outliers", "low", "Clip or transform", F.col("outlier_pct") > OUTLIER_SHARE),
-        ("zeros", "low", "Check for missing values", (F.col("zero_pct") > ZERO_SHARE) & (F.col("zero_pct") < 100)),
-        ("negative", "low", "May be invalid", F.col("negatives") > 0),
+        ("outliers", "low", "clip", F.col("outlier_pct") > OUTLIER_SHARE),
+        ("zeros", "low", "check_zeros", (F.col("zero_pct") > ZERO_SHARE) & (F.col("zero_pct") < 100)),
+        ("negative", "low", "check_sign", F.col("negatives") > 0),
     )
     found = F.array_compact(
         F.array(*[
@@ -106,26 +122,49 @@ def audit_flags(audit: DataFrame) -> DataFrame:
     return audit.select("column", F.explode(found).alias("f")).select("column", "f.*")
 
 
-PAIRS_PER_PASS = 100
+def _pair_sums(size: int):
+    """Per task: sums over the rows where both columns of a pair are known, shifted by the means."""
 
+    def run(batches):
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(np.float64)
+            total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        i, j = np.triu_indices(size, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, *(t[i, j] for t in total))], names=_PAIR_NAMES)
+
+    return run
 
-def correlated_pairs(df: DataFrame, columns: Sequence[str], limit: float = HIGH_CORRELATION) -> DataFrame:
-    """(first, second, correlation) above the limit, over rows where both columns are known.
 
-    A pass aggregates a hundred pairs of columns, so a wide frame keeps small plans.
+_PAIR_NAMES = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(first, second, correlation) of every pair of columns, over rows where both are known.
+
+    Two scans whatever the number of columns: the means, then one table of pair sums per
+    task, added up by pair. NaN counts as unknown; a pair without variance has a null.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        entries = F.array(*[
-            F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), correlation(a, b).alias("correlation"))
-            for a, b in pairs[start : start + PAIRS_PER_PASS]
-        ])
-        parts.append(df.agg(entries.alias("e")).select(F.inline("e")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where(F.abs("correlation") > limit)
+    values = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    shifted = df.select(*[(v - F.lit(float(means[i] or 0.0))).alias(f"c{i}") for i, v in enumerate(values)])
+    parts = shifted.mapInArrow(_pair_sums(len(columns)), "i long, j long, " + ", ".join(f"{c} double" for c in _PAIR_NAMES[2:]))
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _PAIR_NAMES[2:]])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
+    name = lambda i: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(i).cast("int") + 1)
+    return sums.select(
+        name("i").alias("first"),
+        name("j").alias("second"),
+        F.when(spread > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (n * F.col("sxy") - sx * sy) / F.sqrt(spread)))).alias("correlation"),
+    )
+
+
+def correlated_pairs(df: DataFrame, columns: Sequence[str], limit: float = HIGH_CORRELATION) -> DataFrame:
+    """The pairs of :func:`pair_correlations` above the limit."""
+    return pair_correlations(df, columns).where(F.abs("correlation") > limit)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -166,9 +205,9 @@ def value_rules(df: DataFrame, rules: Mapping[str, Column], *keep: str) -> DataF
 
 def runner_rules(age: str = "age", win_ratio: str = "ratio_victoires", odds: str = "cotedirect") -> dict[str, Column]:
     return {
-        "Invalid age": (F.col(age) > 30) | (F.col(age) < 1),
-        "Invalid win ratio": F.col(win_ratio) > 1,
-        "Invalid odds": F.col(odds) < 0,
+        "age": (F.col(age) > 30) | (F.col(age) < 1),
+        "win_ratio": F.col(win_ratio) > 1,
+        "odds": F.col(odds) < 0,
     }
 
 

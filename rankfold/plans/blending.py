@@ -210,7 +210,7 @@ ov AS (SELECT weight AS ow, acc AS oa FROM ball ORDER BY round(acc, 9) DESC, wei
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dist_range ORDER BY round(winner_accuracy, 9) DESC, weight) AS k FROM results) WHERE k = 1)
 SELECT dist_range, weight AS optimal_weight, round(winner_accuracy, 6) AS winner_accuracy,
   round(winner_accuracy - oa, 6) AS improvement_vs_overall, total_races,
-  CASE WHEN round(abs(weight - ow), 9) >= 0.2 THEN 'Use custom weights' ELSE 'Overall weights work well' END AS recommendation
+  CASE WHEN round(abs(weight - ow), 9) >= 0.2 THEN 'own_weight' ELSE 'overall_weight' END AS recommendation
 FROM b, ov WHERE total_races >= 10 AND (round(abs(weight - ow), 9) >= 0.2 OR winner_accuracy - oa > 0.05)"""
 )
 def best_weight_patterns(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,11 +61,26 @@ def bias_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("t_stat", F.round("t_stat", 4))
 
 
-@query()
+@query(
+    _CAL
+    + """,
+v AS (SELECT *, (n - 1)::DOUBLE AS v, 1.959963984540054::DOUBLE AS z, CASE bias_type WHEN 'systematic' THEN 0.2 WHEN 'typec' THEN 0.4 ELSE 0.3 END AS least FROM s
+      WHERE n >= CASE bias_type WHEN 'odds' THEN 20 WHEN 'systematic' THEN 1 ELSE 30 END),
+c AS (SELECT *, z + (z^3 + z) / 4 / v + (5 * z^5 + 16 * z^3 + 3 * z) / 96 / v^2 + (3 * z^7 + 19 * z^5 + 17 * z^3 - 15 * z) / 384 / v^3
+      + (79 * z^9 + 776 * z^7 + 1482 * z^5 - 1920 * z^3 - 945 * z) / 92160 / v^4 AS critical FROM v),
+g AS (SELECT *, coalesce(abs(t_stat) > critical AND abs(mean_error) > least, false) AS significant FROM c),
+h AS (SELECT bias_type, count(*) FILTER (WHERE significant) AS significant_buckets, avg(abs(mean_error)) FILTER (WHERE significant) AS impact FROM g GROUP BY bias_type)
+SELECT bias_type, bucket, n, round(mean_error, 6) AS mean_error, round(critical, 6) AS critical_t, significant, significant_buckets,
+  round(impact, 6) AS impact, CASE WHEN bias_type = 'odds' AND significant_buckets > 2 THEN 'HIGH' WHEN bias_type = 'distance' THEN 'LOW'
+    WHEN bias_type = 'systematic' AND abs(mean_error) > 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(-mean_error, 6) AS correction
+FROM g JOIN h USING (bias_type)"""
+)
 def significant_biases(spark: SparkSession, sf: str) -> DataFrame:
-    """With p-values from the t distribution, which the SQL side lacks."""
+    """Buckets whose error is beyond the critical value of t and the least error of their kind."""
     stats = calibration.bias_table(scored(spark, sf), "predicted", "position")
-    return calibration.significant_biases(stats)
+    out = calibration.significant_biases(stats)
+    names = ("bias_type", "bucket", "n", "mean_error", "critical_t", "significant", "significant_buckets", "impact", "severity", "correction")
+    return rounded(out.select(*names))
 
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,9 +100,9 @@ def apply_calibration(spark: SparkSession, sf: str) -> DataFrame:
     + """,
 h AS (SELECT avg(abs(calibrated - position)) AS current_mae, avg(abs(predicted - position)) AS baseline_mae, avg(predicted - position) AS mean_error, count(*) AS n_samples FROM c)
 SELECT round(current_mae, 6) AS current_mae, round(baseline_mae, 6) AS baseline_mae, round(mean_error, 6) AS mean_error, n_samples,
-  CASE WHEN n_samples < 50 THEN 'Insufficient data' WHEN abs(mean_error) > 0.3 THEN 'Systematic bias developing'
-    WHEN NOT current_mae < baseline_mae - 0.05 THEN 'Calibration no longer effective' WHEN current_mae > baseline_mae + 0.1 THEN 'Calibration hurting performance'
-    ELSE 'Calibration healthy' END AS reason,
+  CASE WHEN n_samples < 50 THEN 'too_few_rows' WHEN abs(mean_error) > 0.3 THEN 'bias'
+    WHEN NOT current_mae < baseline_mae - 0.05 THEN 'no_effect' WHEN current_mae > baseline_mae + 0.1 THEN 'harm'
+    ELSE 'ok' END AS reason,
   CAST(n_samples >= 50 AND (abs(mean_error) > 0.3 OR NOT current_mae < baseline_mae - 0.05) AS INTEGER) AS should_update FROM h"""
 )
 def calibration_health(spark: SparkSession, sf: str) -> DataFrame:

@@ -158,8 +158,8 @@ def completeness_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """
 WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - 5 AS age, l_discount * 12 AS win, l_tax - 0.02 AS odds FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, issue FROM (
-  SELECT *, 'Invalid age' AS issue FROM a WHERE age > 30 OR age < 1 UNION ALL SELECT *, 'Invalid win ratio' FROM a WHERE win > 1
-  UNION ALL SELECT *, 'Invalid odds' FROM a WHERE odds < 0)"""
+  SELECT *, 'age' AS issue FROM a WHERE age > 30 OR age < 1 UNION ALL SELECT *, 'win_ratio' FROM a WHERE win > 1
+  UNION ALL SELECT *, 'odds' FROM a WHERE odds < 0)"""
 )
 def value_rules(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -42,15 +42,15 @@ s3 AS (
     greatest(-2, least(2, CASE WHEN rs > 0 THEN (recent - rm) / rs ELSE 0 END * 0.4 + CASE WHEN ts > 0 THEN (trend - tm) / ts ELSE 0 END * 0.35
       + CASE WHEN js > 0 THEN (joc_trend - jm) / js ELSE 0 END * 0.25)) / 2 AS form_score,
     trend > 0.01 AND recent > rm AS positive_momentum, (jwins - 0.1 * greatest(greatest(rides, 1) - 4, 0)) * 0.6 + twins * 0.4 AS connection_score,
-    jwins > 0 AND greatest(rides, 1) <= 4 AND twins > 0 AS hot_connection, move <= 200 AS distance_at_ease,
+    jwins > 0 AND greatest(rides, 1) <= 4 AND twins > 0 AS hot_connection, move <= 200 AS distance_comfort,
     CASE WHEN move <= 50 THEN 1.0 WHEN move <= 200 THEN 0.5 WHEN move / dist < 0.2 THEN 0.0 ELSE -0.5 END::DOUBLE AS comfort_score
   FROM s2),
 s4 AS (
   SELECT *, earnings_score * 0.25 + track_score * 0.25 + form_score * 0.25 + connection_score * 0.15 + comfort_score * 0.10 AS composite_score,
     CAST(earnings_advantage AS INTEGER) + CAST(track_specialist AS INTEGER) + CAST(positive_momentum AS INTEGER) + CAST(hot_connection AS INTEGER)
-      + CAST(distance_at_ease AS INTEGER) AS total_advantages,
+      + CAST(distance_comfort AS INTEGER) AS total_advantages,
     greatest(-0.5, least(0.5, - CASE WHEN earnings_advantage THEN 0.25 ELSE 0 END - CASE WHEN track_specialist THEN 0.20 ELSE 0 END
-      - CASE WHEN positive_momentum THEN 0.15 ELSE 0 END - CASE WHEN hot_connection THEN 0.10 ELSE 0 END - CASE WHEN distance_at_ease THEN 0.05 ELSE 0 END)) AS adj
+      - CASE WHEN positive_momentum THEN 0.15 ELSE 0 END - CASE WHEN hot_connection THEN 0.10 ELSE 0 END - CASE WHEN distance_comfort THEN 0.05 ELSE 0 END)) AS adj
   FROM s3),
 s5 AS (
   SELECT *, round(greatest(earnings_score, track_score, form_score, connection_score, comfort_score), 9) AS top_score,
@@ -105,11 +105,11 @@ SELECT race_id, numero, round(epr, 9) AS earnings_per_race, round(field_avg_earn
   earnings_rank, CAST(earnings_advantage AS INTEGER) AS earnings_advantage, round(track_score, 6)::DOUBLE AS track_score, CAST(track_specialist AS INTEGER) AS track_specialist,
   round(class_score, 6)::DOUBLE AS class_score, round(class_relief_score, 6) AS class_relief_score, round(form_score, 6)::DOUBLE AS form_score,
   CAST(positive_momentum AS INTEGER) AS positive_momentum, round(connection_score, 6)::DOUBLE AS connection_score, CAST(hot_connection AS INTEGER) AS hot_connection,
-  comfort_score, CAST(distance_at_ease AS INTEGER) AS distance_at_ease FROM s3"""
+  comfort_score, CAST(distance_comfort AS INTEGER) AS distance_comfort FROM s3"""
 )
 def relative_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored(spark, sf)
-    flags = ("earnings_advantage", "track_specialist", "positive_momentum", "hot_connection", "distance_at_ease")
+    flags = ("earnings_advantage", "track_specialist", "positive_momentum", "hot_connection", "distance_comfort")
     out = rows.select(
         "race_id", "numero", F.round("earnings_per_race", 9).alias("earnings_per_race"),
         F.round("field_avg_earnings", 9).alias("field_avg_earnings"), "earnings_rank", *[F.col(f).cast("int").alias(f) for f in flags],
@@ -160,7 +160,7 @@ def older_composite(spark: SparkSession, sf: str) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(composite_score, 9) DESC, numero) AS contender FROM s)
 SELECT race_id, numero, contender, round(composite_score, 6)::DOUBLE AS composite_score, strength AS competitive_strength, total_advantages, primary_advantage_type,
   array_to_string(list_filter([CASE WHEN earnings_advantage THEN 'earnings' END, CASE WHEN track_specialist THEN 'track' END, CASE WHEN positive_momentum THEN 'form' END,
-    CASE WHEN hot_connection THEN 'connection' END, CASE WHEN distance_at_ease THEN 'distance' END], lambda x : x IS NOT NULL), ',') AS key_advantages
+    CASE WHEN hot_connection THEN 'connection' END, CASE WHEN distance_comfort THEN 'distance' END], lambda x : x IS NOT NULL), ',') AS key_advantages
 FROM k WHERE contender <= 3"""
 )
 def top_contenders(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +177,7 @@ SELECT race_id, count(*) AS total_horses, round(avg(composite_score), 6)::DOUBLE
   count(*) FILTER (WHERE total_advantages > 0) AS horses_with_advantages, count(*) FILTER (WHERE total_advantages > 1) AS horses_with_multiple_advantages,
   count(*) FILTER (WHERE earnings_advantage) AS earnings_advantage_count, count(*) FILTER (WHERE track_specialist) AS track_specialist_count,
   count(*) FILTER (WHERE positive_momentum) AS positive_momentum_count, count(*) FILTER (WHERE hot_connection) AS hot_connection_count,
-  count(*) FILTER (WHERE distance_at_ease) AS distance_at_ease_count,
+  count(*) FILTER (WHERE distance_comfort) AS distance_comfort_count,
   CASE WHEN stddev_pop(composite_score) > 0.15 THEN 'high' WHEN stddev_pop(composite_score) > 0.08 THEN 'moderate' ELSE 'low' END AS field_competitiveness
 FROM s GROUP BY race_id"""
 )

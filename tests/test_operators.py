@@ -63,9 +63,34 @@ def test_half_even_rounding(spark):
 # --- Calibration ---------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("t, n, p", [(2.0, 10, 0.0766), (2.262157, 10, 0.05), (0.0, 5, 1.0), (12.7062, 2, 0.05), (-1.96, 100001, 0.05)])
-def test_p_values(t, n, p):
-    assert calibration.t_p_value(t, n) == pytest.approx(p, abs=2e-4)
+@pytest.mark.parametrize("n, critical", [(20, 2.093024), (31, 2.042272), (121, 1.979930), (1_000_001, 1.959966)])
+def test_critical_values(spark, n, critical):
+    got = spark.range(1).select(calibration.critical_t(F.lit(n))).first()[0]
+    assert got == pytest.approx(critical, abs=2e-5)
+
+
+def test_split_by_time_keeps_every_row(spark):
+    rows = [("2024-01-02",)] * 9 + [("2024-01-01",), (None,)]
+    df = spark.createDataFrame(rows, "day string").withColumn("day", F.to_date("day"))
+    fit, validate = calibration.split_by_time(df, "day", 0.8)
+    assert (fit.count(), validate.count()) == (9, 2)
+
+
+def test_selector_uses_pairs_of_known_values(spark):
+    from rankfold.operators.models import FeatureSelector
+
+    rows = [(float(i), float(i) * 2 if i % 2 else None, None if i % 2 else float(i % 5), float(-i % 7)) for i in range(80)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = FeatureSelector().fit(df)
+    assert got.removed["correlated"] == ["a"] and got.selected == ["b", "c", "d"]
+
+
+def test_isotonic_keeps_rows_without_a_score(spark):
+    from rankfold.operators.models import apply_isotonic, fit_isotonic
+
+    df = spark.createDataFrame([(float(i), float(i % 9 + 1)) for i in range(100)] + [(None, 3.0), (float("nan"), 3.0)], "s double, y double")
+    out = apply_isotonic(df, fit_isotonic(df, "s", "y"), "s", "c")
+    assert out.count() == 102 and out.where("c is null").count() == 2
 
 
 def test_bias_needs_enough_rows(spark):
@@ -88,9 +113,9 @@ def test_corrections_are_clipped(spark):
 
 def test_calibration_health_reasons(spark):
     df = spark.createDataFrame([(2.0, 2.0, 2.0)] * 60, "p double, c double, a double")
-    assert calibration.health(df, "p", "c", "a").first()["reason"] == "Calibration no longer effective"
-    assert calibration.health(df, "p", "c", "a", has_corrections=False).first()["reason"] == "Calibration healthy"
-    assert calibration.health(df.limit(3), "p", "c", "a").first()["reason"] == "Insufficient data"
+    assert calibration.health(df, "p", "c", "a").first()["reason"] == "no_effect"
+    assert calibration.health(df, "p", "c", "a", has_corrections=False).first()["reason"] == "ok"
+    assert calibration.health(df.limit(3), "p", "c", "a").first()["reason"] == "too_few_rows"
 
 
 # --- Imputation, quality ---------------------------------------------------------------
