@@ -74,6 +74,84 @@ def daily_race_list(spark: SparkSession, sf: str) -> DataFrame:
     return scans.race_list(daily(spark, sf))
 
 
+@query(WITH_FIELD + " SELECT race_id AS comp, numero, horse_id AS idche FROM field WHERE typec LIKE '1%'")
+def runners_of_listed_races(spark: SparkSession, sf: str) -> DataFrame:
+    """Races of a list of ids, exploded."""
+    ids = table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("comp"))
+    return scans.runners_of(daily(spark, sf), ids=ids).select("comp", "numero", "idche")
+
+
+@query(WITH_FIELD + " SELECT DISTINCT race_id AS comp, partant FROM field WHERE jour = (SELECT max(jour) FROM field)")
+def races_of_a_day(spark: SparkSession, sf: str) -> DataFrame:
+    stored = daily(spark, sf)
+    return scans.selected(stored, day=stored.select(F.max("jour")).scalar()).select("comp", "partant")
+
+
+@query(WITH_FIELD + " SELECT race_id AS comp, jour FROM field GROUP BY race_id, jour ORDER BY jour DESC, race_id LIMIT 25")
+def latest_races(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.selected(daily(spark, sf), latest=25).select("comp", "jour")
+
+
+@query(
+    WITH_FIELD
+    + " SELECT race_id AS comp, numero, horse_id AS idche, round(odds, 6) AS cotedirect FROM field WHERE race_id = (SELECT max(race_id) FROM field)"
+)
+def one_decoded_race(spark: SparkSession, sf: str) -> DataFrame:
+    """One race whose participants are stored as text."""
+    stored = daily(spark, sf)
+    text = stored.withColumn("document", F.to_json("participants")).drop("participants")
+    race = scans.one_race(text, text.select(F.max("comp")).scalar())
+    rows = parse_nested(race, "document", "numero bigint, idche bigint, cotedirect double")
+    return rounded(unnest(rows.select("comp", "document"), "document").select("comp", "numero", "idche", "cotedirect"))
+
+
+@query(
+    """
+SELECT o_orderkey AS comp, CASE WHEN o_orderstatus = 'P' THEN 'stored' ELSE o_orderpriority END AS typec,
+  CAST(o_orderdate AS DATE) AS jour FROM orders WHERE o_orderkey IS NOT NULL"""
+)
+def race_or_prediction_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Race attributes; those of the prediction table where the race lacks them."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("comp"), "o_orderpriority", "o_orderstatus", F.to_date("o_orderdate").alias("jour"))
+    known = F.col("o_orderstatus") != "P"
+    own = orders.where(known | (F.col("comp") % 2 == 0)).select("comp", F.when(known, F.col("o_orderpriority")).alias("typec"), F.when(known, F.col("jour")).alias("jour"))
+    stored = orders.select("comp", F.lit("stored").alias("typec"), "jour")
+    return scans.result_or_prediction(own, stored, "typec", "jour")
+
+
+@query(
+    WITH_FIELD
+    + " SELECT race_id, numero, round(pred_b, 6) AS pred_b, coalesce(CASE WHEN tax > 0.02 THEN tax END, 0)::DOUBLE AS tax, 0.0::DOUBLE AS absent, discount FROM field"
+)
+def aligned_model_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns in a model's order: text parsed, nulls and missing columns 0."""
+    rows, _ = field(spark, sf)
+    own = rows.select("race_id", "numero", F.col("discount").cast("string").alias("discount"), "pred_b", F.when(F.col("tax") > 0.02, F.col("tax")).alias("tax"))
+    out = cleaning.align_columns(own, ["race_id", "numero", "pred_b", "tax", "absent", "discount"])
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("race_id", "numero")}))
+
+
+@query(WITH_FIELD + " SELECT race_id, round(pred_a, 6) AS pred_a, round(pred_b, 6) AS pred_b, tax FROM field")
+def chosen_model_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric columns by prefix and name; text ones are not chosen."""
+    rows, _ = field(spark, sf)
+    own = rows.withColumn("pred_text", F.lit("x"))
+    return rounded(own.select("race_id", *cleaning.model_columns(own, ["tax"], ["pred_"], ["pred_a"], at_least=3)))
+
+
+@query(
+    WITH_RUNNERS
+    + """ SELECT race_id, numero, round(0.6 * pred_a + 0.4 * pred_b, 6) AS ensemble_prediction, round(pred_b, 6) AS final_prediction,
+  round(pred_b - (0.6 * pred_a + 0.4 * pred_b), 6) AS competitive_adjustment, 0.6::DOUBLE AS ensemble_weight_rf, 0.4::DOUBLE AS ensemble_weight_tabnet FROM runners"""
+)
+def prediction_facts(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = runners(spark, sf)
+    rows = rows.withColumn("both", F.lit(0.6) * F.col("pred_a") + F.lit(0.4) * F.col("pred_b"))
+    out = tables.prediction_rows(rows, "both", "pred_b", {"rf": 0.6, "tabnet": 0.4})
+    names = ("ensemble_prediction", "final_prediction", "competitive_adjustment", "ensemble_weight_rf", "ensemble_weight_tabnet")
+    return rounded(out.select("race_id", "numero", *names))
+
+
 @query(WITH_FIELD + " SELECT DISTINCT race_id AS comp, jour FROM field WHERE natpis = 'P'")
 def races_to_predict(spark: SparkSession, sf: str) -> DataFrame:
     return scans.to_predict(daily(spark, sf)).select("comp", "jour")

@@ -42,7 +42,7 @@ def historical(
     out = between_days(out, "jour", last=before)
     if results is not None:
         out = out.join(results, "comp", "left")
-    return out if limit is None else out.orderBy(F.desc("jour"), F.asc("comp")).limit(limit)
+    return out if limit is None else first_races(out, [F.desc("jour"), F.asc("comp")], limit)
 
 
 def quinte(races: DataFrame, day=None, limit: int | None = None) -> DataFrame:
@@ -50,8 +50,15 @@ def quinte(races: DataFrame, day=None, limit: int | None = None) -> DataFrame:
     out = races.where(F.col("quinte"))
     if day is not None:
         return out.where(F.col("jour") == day).orderBy("reunion", "prix")
-    out = out.orderBy(F.desc("jour"), F.asc("comp"))
-    return out if limit is None else out.limit(limit)
+    order = [F.desc("jour"), F.asc("comp")]
+    return out.orderBy(*order) if limit is None else first_races(out, order, limit)
+
+
+def first_races(races: DataFrame, order: list, limit: int) -> DataFrame:
+    """All parts of the first ``limit`` races in an order; a long race counts once."""
+    if "part" not in races.columns:
+        return races.orderBy(*order).limit(limit)
+    return races.join(races.where(F.col("part") == 0).orderBy(*order).limit(limit).select("comp"), "comp", "left_semi")
 
 
 def selected(races: DataFrame, ids: DataFrame | None = None, day=None, latest: int | None = None) -> DataFrame:
@@ -60,7 +67,7 @@ def selected(races: DataFrame, ids: DataFrame | None = None, day=None, latest: i
         return races.join(ids.select("comp"), "comp", "left_semi")
     if day is not None:
         return races.where(F.col("jour") == day)
-    return races.orderBy(F.desc("jour"), F.asc("comp")).limit(latest or 1)
+    return first_races(races, [F.desc("jour"), F.asc("comp")], latest or 1)
 
 
 def runners_of(races: DataFrame, **chosen) -> DataFrame:
@@ -70,6 +77,7 @@ def runners_of(races: DataFrame, **chosen) -> DataFrame:
 def race_list(races: DataFrame, day=None) -> DataFrame:
     """Races with flags of what is stored for them."""
     out = races if day is None else races.where(F.col("jour") == day)
+    out = out.where(F.col("part") == 0) if "part" in out.columns else out  # a long race is one race
     flag = lambda c: F.when(c, 1).otherwise(0)
     return out.select(
         "comp",
@@ -92,7 +100,7 @@ def to_predict(races: DataFrame, day=None, force: bool = False, limit: int | Non
         out = out.where(F.col("jour") == day)
     if not force:
         out = out.where(~has_predictions())
-    return out if limit is None else out.orderBy("jour", "comp").limit(limit)
+    return out if limit is None else first_races(out, [F.asc("jour"), F.asc("comp")], limit)
 
 
 def completed(
@@ -104,7 +112,7 @@ def completed(
         out = out.where(has_predictions())
     if archived is not None:
         out = out.join(archived.select("comp"), "comp", "left_anti")
-    return out if limit is None else out.orderBy(F.desc("jour"), F.asc("comp")).limit(limit)
+    return out if limit is None else first_races(out, [F.desc("jour"), F.asc("comp")], limit)
 
 
 def completed_with_stored(races: DataFrame, stored: DataFrame, at_least: int = 1, first=None, last=None) -> DataFrame:

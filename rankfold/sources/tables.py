@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.orders import order_array
 from ..functions.text import handicap_columns
-from ..operators.grouping import first_per_key, join_on
+from ..operators.grouping import first_per_key, join_on, row_number_within
 from ..operators.nesting import CHUNK, nest, unnest
 from ..session import shared_folder
 from .races import known_result, positions_of_orders
@@ -122,18 +122,17 @@ def result_rows(rows: DataFrame, race: str, position: str, number: str, horse: s
     Entries carry their finish, so a very large race may come in several parts.
     """
     text = F.col(position).cast("string")
-    is_number = text.rlike("^[0-9]+$")
+    number_ = F.when(text.rlike("^[0-9]+$"), text.cast("int"))
+    # Parts follow the finish, so the first part starts with the winner.
+    order = [number_.asc_nulls_last(), text.asc_nulls_last(), F.col(number).asc(), F.col(horse).asc()]
+    placed = row_number_within(rows, race, order, "__place")
     entry = F.struct(
-        F.when(is_number, 0).otherwise(1).alias("__text"),
-        F.when(is_number, text.cast("int")).alias("__n"),
-        text.alias("narrivee"),
-        F.col(number).cast("int").alias("cheval"),
-        F.col(horse).cast("long").alias("idche"),
+        F.col("__place"), text.alias("narrivee"), F.col(number).cast("int").alias("cheval"), F.col(horse).cast("long").alias("idche")
     )
     ordered = F.array_sort(F.collect_list(entry))
     plain = F.transform(ordered, lambda e: F.struct(e["narrivee"], e["cheval"], e["idche"]))
-    part = F.floor((F.col(number) - 1) / CHUNK).cast("long").alias("part")
-    return rows.groupBy(race, part).agg(plain.alias("ordre_arrivee"))
+    part = F.floor((F.col("__place") - 1) / CHUNK).cast("long").alias("part")
+    return placed.groupBy(race, part).agg(plain.alias("ordre_arrivee"))
 
 
 def prediction_rows(df: DataFrame, ensemble: str, final: str, weights: Mapping[str, float]) -> DataFrame:
