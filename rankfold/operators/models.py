@@ -32,9 +32,13 @@ MIN_TYPE_ROWS = 100
 # --- Splits ---------------------------------------------------------------------
 
 
-def race_split(df: DataFrame, race: str, test: float = 0.2, validation: float = 0.0, name: str = "split") -> DataFrame:
-    """train / validation / test by a hash of the race, so a race is never cut."""
-    slot = F.pmod(F.xxhash64(race), F.lit(10_000)) / 10_000
+def race_split(df: DataFrame, race: str, test: float = 0.2, validation: float = 0.0, name: str = "split", salt: str = "") -> DataFrame:
+    """train / validation / test by a hash of the race, so a race is never cut; a null race is one race.
+
+    Splits of different ``salt`` are independent, as a split of a split must be.
+    """
+    digest = F.md5(F.concat(F.lit(salt), F.coalesce(F.col(race).cast("string"), F.lit(""))).cast("binary"))
+    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 4294967296.0
     return df.withColumn(
         name, F.when(slot < test, "test").when(slot < test + validation, "validation").otherwise("train")
     )
@@ -335,16 +339,20 @@ def calibrator_usable(metadata: DataFrame, now: Column | None = None) -> DataFra
 
 @dataclass
 class CalibratedRegressor:
-    """A regressor and the isotonic curve over its output."""
+    """A regressor and the isotonic curve over its output, fitted on races that the regressor has not seen."""
 
     columns: Sequence[str]
     target: str
+    race: str = "race_id"
+    share: float = 0.2
     model: PipelineModel | None = None
     curve: object | None = None
 
     def fit(self, df: DataFrame, **settings) -> CalibratedRegressor:
-        self.model = fit_boosted(df, self.columns, self.target, **settings)
-        self.curve = fit_isotonic(predict(self.model, df, self.columns, "__raw"), "__raw", self.target)
+        parts = race_split(df, self.race, self.share, name="__part", salt="calibration")
+        self.model = fit_boosted(parts.where(F.col("__part") == "train"), self.columns, self.target, **settings)
+        unseen = predict(self.model, parts.where(F.col("__part") == "test"), self.columns, "__raw")
+        self.curve = fit_isotonic(unseen, "__raw", self.target)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

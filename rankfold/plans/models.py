@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import families
 from ..operators import calibration, history, models, scoring
 from ..operators.grouping import row_number_within
+from ..session import reliable_checkpoint
+from ..sources import tables
 from .blending import DEFAULT, RULES
 from .history import horse_field
 from .participants import participants
@@ -118,7 +121,17 @@ def floored_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("race_id", "numero", models.ensemble({"a": 0.5, "b": 0.5}).alias("blended")))
 
 
-@query()
+_SPLIT = """,
+h AS (SELECT *, ('0x' || substr(md5(race_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS slot FROM runners)"""
+
+
+@query(
+    WITH_RUNNERS
+    + _SPLIT
+    + """
+SELECT CASE WHEN slot < 0.2 THEN 'test' WHEN slot < 0.3 THEN 'validation' ELSE 'train' END AS split, count(*) AS rows, count(DISTINCT race_id) AS races
+FROM h GROUP BY 1"""
+)
 def race_aware_split(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = runners(spark, sf)
     split = models.race_split(rows, "race_id", 0.2, 0.1)
@@ -175,11 +188,19 @@ def residual_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return model.transform(rows).select("race_id", "numero", "base", "corrected_prediction")
 
 
-@query()
+@query(
+    WITH_RUNNERS
+    + """,
+m AS (SELECT covar_pop(pred_b, position) AS cb, covar_pop(discount, position) AS cd, var_pop(pred_b) AS bb, var_pop(discount) AS dd,
+        covar_pop(pred_b, discount) AS bd, avg(pred_b) AS b, avg(discount) AS d, avg(position) AS y FROM runners),
+w AS (SELECT (cb * dd - cd * bd) / (bb * dd - bd * bd) AS wb, (cd * bb - cb * bd) / (bb * dd - bd * bd) AS wd, b, d, y FROM m)
+SELECT race_id, numero, round(y + wb * (pred_b - b) + wd * (discount - d), 4) AS prediction FROM runners, w"""
+)
 def stacked_model(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = learning_rows(spark, sf)
-    model = models.fit_stacked(rows, ["pred_a", "pred_b", "odds"], "y")
-    return models.predict(model, rows, ["pred_a", "pred_b", "odds"], "prediction").select("race_id", "numero", "prediction")
+    rows, _ = runners(spark, sf)
+    rows = rows.withColumn("y", F.col("position").cast("double"))
+    model = models.fit_stacked(rows, ["pred_b", "discount"], "y")
+    return rounded(models.predict(model, rows, ["pred_b", "discount"], "prediction").select("race_id", "numero", "prediction"), 4)
 
 
 @query()
@@ -206,6 +227,74 @@ def all_features(spark: SparkSession, sf: str) -> DataFrame:
     return families.with_families(participants(spark, sf), *families.ALL_FAMILIES)
 
 
+@query(
+    WITH_RUNNERS
+    + _SPLIT
+    + """,
+t AS (SELECT count(*) AS n, count(DISTINCT race_id) AS races FROM h WHERE slot < 0.2)
+SELECT m AS model, n, races, true AS in_range, true AS better_than_the_mean FROM t, (VALUES ('boosted'), ('forest'), ('isotonic')) v(m)"""
+)
+def model_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for each model on held-out races: every row scored once, near the target's range, better than the mean."""
+    rows = reliable_checkpoint(learning_rows(spark, sf)[0])
+    split = models.race_split(rows, "race_id")
+    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    low, high, mean = train.agg(F.min("y"), F.max("y"), F.avg("y")).first()
+    high = max(high, models.POSITION_RANGE[1])
+    low, high = low - (high - low), high + (high - low)  # boosted trees add up and may pass the ends
+    scored = {
+        "boosted": models.predict(models.fit_boosted(train, FEATURES, "y", **SMALL_TREES), test, FEATURES, "s"),
+        "forest": models.predict(models.fit_forest(train, FEATURES, "y", **SMALL_FOREST), test, FEATURES, "s"),
+        "isotonic": models.apply_isotonic(test, models.fit_isotonic(train, "partant", "y"), "partant", "s"),
+    }
+    error = lambda c: F.avg(F.pow(c - F.col("y"), 2))
+    out = None
+    for name, part in scored.items():
+        row = part.agg(
+            F.count("s").alias("n"),
+            F.count_distinct("race_id").alias("races"),
+            F.coalesce(F.bool_and(F.col("s").between(low, high)), F.lit(False)).alias("in_range"),
+            (error(F.col("s")) < error(F.lit(mean))).alias("better_than_the_mean"),
+        ).withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    WITH_RUNNERS
+    + " SELECT race_id, count(*) AS n, count(*) AS ranks, (count(*) * (count(*) + 1) // 2)::BIGINT AS rank_sum FROM runners GROUP BY race_id"
+)
+def scored_and_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The scoring job end to end: features stored once, models saved and loaded, corrections from races the
+    models have not seen, scores upserted twice; ranks of the stored rows are a permutation in every race.
+    """
+    rows, by_race = learning_rows(spark, sf)
+    rows = reliable_checkpoint(rows)
+    split = models.race_split(rows, "race_id", 0.2)
+    train, unseen = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    folder = tables.stage_path(spark, "models")
+    models.fit_boosted(train, FEATURES, "y", **SMALL_TREES).write().overwrite().save(f"{folder}/rf")
+    models.fit_stacked(train, FEATURES, "y").write().overwrite().save(f"{folder}/tabnet")
+    scorers = {name: (PipelineModel.load(f"{folder}/{name}"), FEATURES) for name in ("rf", "tabnet")}
+    names = {"odds": "cotedirect", "dist": "distance"}
+    stats = calibration.bias_table(
+        scoring.score_races(unseen, by_race, scorers, RULES, DEFAULT).withColumnsRenamed(names), "final_prediction", "position"
+    )
+    corrections = calibration.corrections(calibration.significant_biases(stats))
+    scored = scoring.score_races(rows, by_race, scorers, RULES, DEFAULT).withColumnsRenamed(names)
+    final = calibration.apply_corrections(scored, corrections, "final_prediction", "final_prediction", mode="single")
+    order = [F.col("final_prediction").asc_nulls_last(), F.col("numero").asc()]
+    ranked = row_number_within(final.drop("predicted_rank"), by_race, order, "predicted_rank")
+    facts = tables.prediction_rows(ranked, "ensemble_prediction", "final_prediction", DEFAULT)
+    facts = facts.select("race_id", "numero", F.year("jour").alias("year"), "predicted_rank", "final_prediction", F.lit(1).alias("version"))
+    path = tables.stage_path(spark, "predictions")
+    for version in (1, 2):
+        stored = tables.upsert(facts.withColumn("version", F.lit(version)), path, ["race_id", "numero"], [F.desc("version")], "year")
+    return stored.groupBy("race_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("predicted_rank").alias("ranks"), F.sum("predicted_rank").alias("rank_sum")
+    )
+
+
 @query()
 def scored_races(spark: SparkSession, sf: str) -> DataFrame:
     """The scoring job: two models, rule weights, competitive adjustment, calibration, order per race."""
