@@ -303,6 +303,19 @@ def near_duplicate_vectors(
     )
 
 
-@query()
+@query(
+    """
+with recursive v as (select vec_id, label, embedding::double[] e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+r as (select vec_id a, vec_id b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) component_id from r group by a),
+n as (select a, count(*) n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint n_links, component_id, vec_id = component_id kept
+from embeddings join c on c.a = vec_id left join n on n.a = vec_id
+"""
+)
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
