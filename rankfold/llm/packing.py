@@ -26,8 +26,7 @@ POOL_TOKENS = 4_000_000
 PROBES = 16
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-POOLS_OF_A_TASK = 1 << 20
-SEQUENCES_OF_A_POOL = 1 << 16
+SEQUENCES_OF_A_TASK = 1 << 36
 
 SCHEMA = pa.schema(
     [
@@ -96,19 +95,20 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, probes: int = PROBES)
 
 
 def packer(vocabulary: str, capacity: int, pool_tokens: int):
-    def packed(ids: list, tokens: list[np.ndarray], pool: int) -> pa.RecordBatch:
-        base = (TaskContext.get().partitionId() * POOLS_OF_A_TASK + pool) * SEQUENCES_OF_A_POOL
+    def packed(ids: list, tokens: list[np.ndarray], base: int) -> tuple[pa.RecordBatch, int]:
         pieces = assign(np.array([len(t) for t in tokens]), capacity)
         rows = [
             (ids[d], start, length, zlib.crc32(tokens[d][start : start + length].data), len(tokens[d]), base + s, at, LINEAR * length + QUADRATIC * length * length)
             for d, start, length, s, at in pieces
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+        arrays = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), SCHEMA)]
+        return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA), base + 1 + max(p[3] for p in pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(vocabulary)
         end = np.array([END_ID], dtype="<u4")
-        ids, tokens, size, pool = [], [], 0, 0
+        ids, tokens, size = [], [], 0
+        base = TaskContext.get().partitionId() * SEQUENCES_OF_A_TASK
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 own = np.concatenate([encoding.encode_to_numpy(text.as_py() or "", allowed_special="all").astype("<u4"), end])
@@ -116,10 +116,11 @@ def packer(vocabulary: str, capacity: int, pool_tokens: int):
                 tokens.append(own)
                 size += len(own)
                 if size >= pool_tokens:
-                    yield packed(ids, tokens, pool)
-                    ids, tokens, size, pool = [], [], 0, pool + 1
+                    out, base = packed(ids, tokens, base)
+                    yield out
+                    ids, tokens, size = [], [], 0
         if ids:
-            yield packed(ids, tokens, pool)
+            yield packed(ids, tokens, base)[0]
 
     return run
 
@@ -135,9 +136,9 @@ def pack_sequences(
     Token ids are those of the vocabulary with its special token, then id 1 as the end.
     ``cost`` is the piece's estimated attention cost. Null and empty texts are the end id
     alone. Repeated rows and null ids are packed like others; an empty table gives no
-    rows. Columns other than ``doc_id`` and ``text`` are not read. Sequence ids number
-    the pools of a task, so they are unique but not dense; they repeat on a rerun as long
-    as the input deals the same rows to its partitions, as files do.
+    rows. Columns other than ``doc_id`` and ``text`` are not read. Sequence ids count on
+    within a task and leave gaps between tasks; they repeat on a rerun as long as the
+    input deals the same rows to its partitions, as files do.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
     return docs.select("doc_id", "text").mapInArrow(packer(vocabulary, capacity, pool_tokens), schema)
