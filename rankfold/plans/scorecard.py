@@ -9,7 +9,7 @@ from ..functions.orders import explode_order
 from ..operators import evaluation
 from ..operators.blending import blend
 from ..operators.grouping import row_number_within
-from ..operators.nesting import nest, order_strings, unnest
+from ..operators.nesting import CHUNK, nest, order_strings, unnest
 from .registry import query
 from .roles import WITH_RUNNERS, rounded, runners
 
@@ -51,7 +51,7 @@ def scorecard(spark: SparkSession, sf: str) -> DataFrame:
     field = row_number_within(field, by_race, [F.col("score").asc(), F.col("numero").asc()], "rank")
     arrivals = order_strings(rows, ["race_id"], "position", "numero", "ordre")
     results = explode_order(arrivals, "ordre", "race_id", "part").select(
-        "race_id", "numero", (F.col("part") * 10_000 + F.col("position")).alias("actual_position")
+        "race_id", "numero", (F.col("part") * CHUNK + F.col("position")).alias("actual_position")
     )
     joined = field.join(results, ["race_id", "numero"], "left")
     return evaluation.per_race(joined, by_race, score="score", rank="rank")
@@ -135,7 +135,7 @@ def order_string_positions(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = runners(spark, sf)
     texts = order_strings(rows, ["race_id"], "position", "numero", "ordre")
     found = explode_order(texts, "ordre", "race_id", "part")
-    return found.select("race_id", (F.col("part") * 10_000 + F.col("position")).alias("position"), "numero")
+    return found.select("race_id", (F.col("part") * CHUNK + F.col("position")).alias("position"), "numero")
 
 
 @query(

@@ -288,8 +288,8 @@ def feature_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("hippo", F.col("flag")).withColumn("date", F.col("ship_day").cast("string"))
     per_race = rows.groupBy("race_id").agg(F.first("hippo").alias("hippo"), F.first("date").alias("date"))
     nested = tables.feature_export(rows, "race_id", "numero", ["pred_a", "pred_b"]).join(per_race, "race_id")
-    # A document holds the races of one bucket, so documents stay small at any size.
-    bucket = F.floor(F.col("race_id") / 500)
+    # A document holds a few races of at most one part each.
+    bucket = F.floor(F.col("race_id") / 20)
     documents = nested.groupBy(bucket.alias("bucket"), "part").agg(
         F.collect_list(F.struct("race_id", "hippo", "date", "X_features")).alias("races")
     )
@@ -303,15 +303,15 @@ def feature_export_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     WITH_RUNNERS + " SELECT race_id AS comp, numero, round(pred_b, 6) AS predicted_position FROM runners WHERE status = 'O'"
 )
 def newest_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Two exports in one folder; only the file written last is read."""
+    """Two exports side by side; only the one written last is read."""
     rows, _ = runners(spark, sf)
     rows = rows.select(F.col("race_id").alias("comp"), "numero", F.col("pred_b").alias("predicted_position"), "status")
     path = tables.stage_path(spark, "exports")
     for status in ("F", "O"):
         chosen = rows.where(F.col("status") == status).drop("status")
-        chosen.coalesce(1).write.mode("append").json(path)  # one file per export is the layout being read
-    back = spark.read.schema("comp bigint, numero bigint, predicted_position double").json(path)
-    return rounded(scans.newest_file(back))
+        tables.export_json(chosen, f"{path}/{status}")
+    back = spark.read.schema("comp bigint, numero bigint, predicted_position double").json(f"{path}/*")
+    return rounded(scans.newest_folder(back))
 
 
 @query(WITH_RUNNERS + " SELECT race_id AS comp, numero, round(pred_b, 6) AS predicted_position FROM runners")

@@ -162,6 +162,14 @@ def newest_file(df: DataFrame) -> DataFrame:
     return stamped.where(F.struct("__at", "__f") == last).drop("__at", "__f")
 
 
+def newest_folder(df: DataFrame) -> DataFrame:
+    """Rows of the folder written last, where each export is a folder of any number of files."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1)
+    stamped = df.select("*", F.col("_metadata.file_modification_time").alias("__at"), folder.alias("__f"))
+    last = stamped.select(F.max(F.struct("__at", "__f"))["__f"]).scalar()
+    return stamped.where(F.col("__f") == last).drop("__at", "__f")
+
+
 def second_model(races: DataFrame, top: int = 5) -> DataFrame:
     """(comp, top): the leading runners of each race's nested predictions, best first."""
     rows = races.where(has_predictions()).select("comp", F.inline("predictions")).where(F.col("predicted_rank") <= top)
