@@ -142,4 +142,4 @@ from u join k on u.source is not distinct from k.source and u.i = k.i
 """
 )
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
