@@ -16,8 +16,9 @@ from .words import mix, slices
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
-POSITIVES, NEGATIVES, CHARACTERS = 2500, 6000, 6000
+POSITIVES, NEGATIVES, CHARACTERS = 2000, 4000, 6000
 ROUNDS, RATE, PENALTY = 60, 0.03, 1e-5
+CHUNK = 1 << 20
 THRESHOLD = 0.3
 
 
@@ -44,11 +45,12 @@ class Model(NamedTuple):
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))))
 
 
-def fit(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, rounds: int = ROUNDS) -> Model:
+def fit(texts: list[str | None], labels: list[int], odds: float | None = None, buckets: int = BUCKETS, rounds: int = ROUNDS) -> Model:
     """Logistic regression on presence features, each scaled by its naive Bayes log-count ratio.
 
-    Adagrad over the whole sample, a fixed number of rounds. Without both labels the model
-    gives the share of label 1 (one half without rows).
+    Adagrad over the whole sample, a fixed number of rounds. ``odds`` of label 1 among all
+    labelled rows correct the bias for a sample that holds another share. Without both
+    labels the model gives the share of label 1 (one half without rows).
     """
     y = np.array(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -57,24 +59,28 @@ def fit(texts: list[str | None], labels: list[int], buckets: int = BUCKETS, roun
     own = [features(t, buckets=buckets).astype(np.int32) for t in texts]
     row = np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own])
     column = np.concatenate(own)
-    positive = y[row] == 1
-    p = 1.0 + np.bincount(column[positive], minlength=buckets)
-    q = 1.0 + np.bincount(column[~positive], minlength=buckets)
+    del own
+    chunks = [slice(i, i + CHUNK) for i in range(0, len(row), CHUNK)]
+    p = 1.0 + sum(np.bincount(column[c], weights=y[row[c]], minlength=buckets) for c in chunks)
+    q = 2.0 + sum(np.bincount(column[c], minlength=buckets) for c in chunks) - p
     ratio = np.log((p / (y.sum() + 2)) / (q / ((1 - y).sum() + 2)))
     w, squares, b, b_squares = np.zeros(buckets), np.full(buckets, 1e-12), 0.0, 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, weights=(w * ratio)[column], minlength=len(y)) + b
+        scaled = w * ratio
+        z = sum(np.bincount(row[c], weights=scaled[column[c]], minlength=len(y)) for c in chunks) + b
         error = (1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))) - y) / len(y)
-        gradient = ratio * np.bincount(column, weights=error[row], minlength=buckets) + PENALTY * w
+        gradient = ratio * sum(np.bincount(column[c], weights=error[row[c]], minlength=buckets) for c in chunks) + PENALTY * w
         squares += gradient * gradient
         b_squares += error.sum() ** 2
         w -= RATE * gradient / np.sqrt(squares)
         b -= 0.1 * error.sum() / np.sqrt(b_squares)
+    if odds is not None:
+        b += float(np.log(odds * (1 - y).sum() / y.sum()))
     return Model(w * ratio, b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> list[tuple[str, int]]:
-    """At most ``positives`` and ``negatives`` labelled texts, those of the smallest hashes.
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int], float | None]:
+    """Texts, labels and the odds of label 1 among all labelled rows; at most ``positives`` and ``negatives`` texts, those of the smallest hashes.
 
     Texts above CHARACTERS are left out of the sample, not cut, as their label may rest on
     any part. The bound on what reaches the driver is (positives + negatives) x CHARACTERS.
@@ -86,11 +92,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
         .join(marked, "doc_id")
         .select("toxic", "text", F.xxhash64("doc_id", "text").alias("draw"))
     )
-    return [
+    sample = [
         (r.text, int(r.toxic))
         for label, most in ((1, positives), (0, negatives))
         for r in rows.where(F.col("toxic") == label).orderBy("draw", "text").limit(most).collect()
     ]
+    ones, zeros = marked.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).head()
+    return [t for t, _ in sample], [y for _, y in sample], ones / zeros if ones and zeros else None
 
 
 def scorer(model: Model, threshold: float):
@@ -121,6 +129,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 @query()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs.where(~held_out()), table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, fit(*map(list, zip(*sample)))) if sample else score_toxicity(docs, fit([], []))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    model = fit(*training_sample(docs.where(~held_out()), table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
