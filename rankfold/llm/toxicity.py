@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .language import held_out
 from .registry import query, table
+from .stages import staged
 from .words import mix, slices
 
 ORDERS = (3, 4, 5)
@@ -19,6 +20,7 @@ BUCKETS = 1 << 18
 POSITIVES, NEGATIVES, CHARACTERS = 2000, 4000, 6000
 ROUNDS, RATE, PENALTY = 60, 0.03, 1e-5
 CHUNK = 1 << 20
+SPARE = 4
 THRESHOLD = 0.3
 
 
@@ -80,25 +82,33 @@ def fit(texts: list[str | None], labels: list[int], odds: float | None = None, b
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int], float | None]:
-    """Texts, labels and the odds of label 1 among all labelled rows; at most ``positives`` and ``negatives`` texts, those of the smallest hashes.
-
-    Texts above CHARACTERS are left out of the sample, not cut, as their label may rest on
-    any part. The bound on what reaches the driver is (positives + negatives) x CHARACTERS.
+    """Texts, labels and the odds of label 1 among all labelled rows; at most
+    ``positives`` and ``negatives`` texts, those of the smallest hashes of their ids.
+
+    Texts above CHARACTERS are left out, not cut, as their label may rest on any part. The
+    bound on what reaches the driver is (positives + negatives) x CHARACTERS. Ids are
+    chosen first and only their texts move: a draw by hash leaves a few times the sample,
+    and the chosen ids, at most positives + negatives, are broadcast to the scan. An id
+    that repeats gives its least text.
     """
+    spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = (
-        docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= CHARACTERS))
-        .select("doc_id", "text")
-        .join(marked, "doc_id")
-        .select("toxic", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    )
-    sample = [
-        (r.text, int(r.toxic))
-        for label, most in ((1, positives), (0, negatives))
-        for r in rows.where(F.col("toxic") == label).orderBy("draw", "text").limit(most).collect()
-    ]
-    ones, zeros = marked.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).head()
-    return [t for t, _ in sample], [y for _, y in sample], ones / zeros if ones and zeros else None
+    usable = docs.where(F.col("doc_id").isNotNull() & (F.char_length("text") <= CHARACTERS)).select(F.col("doc_id").cast("long"), "text")
+    known = staged(marked.join(usable.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    most, slots = {1: positives, 0: negatives}, 1 << 20
+    near = F.lit(False)
+    for label, count in counts.items():
+        share = max(1, min(slots, SPARE * most[label] * slots // count))
+        near = near | ((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share))
+    drawn = known.where(near).select(F.xxhash64("doc_id").alias("draw"), "doc_id", "toxic").collect()
+    chosen = {r.doc_id: int(r.toxic) for label in (1, 0) for r in sorted(r for r in drawn if r.toxic == label)[: most[label]]}
+    if not chosen:
+        return [], [], None
+    ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    rows = usable.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
+    return [r.text for r in sorted(rows)], [chosen[r.doc_id] for r in sorted(rows)], odds
 
 
 def scorer(model: Model, threshold: float):
