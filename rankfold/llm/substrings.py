@@ -107,38 +107,68 @@ def _marks(column: pa.Array, own: Windows) -> np.ndarray:
     return marked
 
 
+PASSAGES = "doc_id long, text_hash long, start int, high int, gram long, passage binary, w1 long, w2 long, sure boolean"
+
+
 def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of consecutive candidate windows with one key; of hot keys, single window hashes."""
+    """Passages of consecutive candidate windows with one key; of hot keys, window hashes.
+
+    Hot windows are combined within a slice of texts: those that occur twice there are
+    spans at once, merged where they overlap, and stand once, marked as sure, for the
+    windows of other slices. The others ask whether their hash occurs elsewhere.
+    """
     for batch in batches:
         for part in slices(batch, "text"):
             own = Windows(split_words(part.column("text")))
-            w = own.words
             hot = _marks(part.column("hot"), own)
             found = own.candidates(hot | _marks(part.column("usual"), own))
-            if not len(found):
-                continue
-            key = own.key[found]
-            new = np.concatenate([[True], (np.diff(found) != 1) | (np.diff(key) != 0) | hot[key[1:]]])
-            first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(found)]]) - 1
-            start, end = found[first], found[last] + WINDOW
-            usual = ~hot[key[first]]
-            data = w.data.tobytes()
-            text = [data[a:b] if u else None for a, b, u in zip(w.start[start].tolist(), w.end[end - 1].tolist(), usual.tolist())]
-            whole, other = grams(w.hash, WINDOW)[start], mix(grams(mix(w.hash, 5), WINDOW)[start], 6)
-            rows = pa.array(own.doc[start])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(rows),
-                    part.column("text_hash").take(rows),
-                    pa.array(own.at[start], pa.int32()),
-                    pa.array(own.gram[key[first]].astype(np.int64)),
-                    pa.array(text, pa.binary()),
-                    pa.array(whole.astype(np.int64), mask=usual),
-                    pa.array(other.astype(np.int64), mask=usual),
-                ],
-                names=[*ID, "start", "gram", "passage", "w1", "w2"],
-            )
+            if len(found):
+                is_hot = hot[own.key[found]]
+                yield _passages(part, own, found[~is_hot])
+                yield from _hot_windows(part, own, found[is_hot])
+
+
+def _rows(part: pa.RecordBatch, own: Windows, start: np.ndarray, end: np.ndarray, **values) -> pa.RecordBatch:
+    """Rows of PASSAGES for word ranges of the slice."""
+    rows, n = pa.array(own.doc[start]), len(start)
+    fields = {"gram": pa.int64(), "passage": pa.binary(), "w1": pa.int64(), "w2": pa.int64(), "sure": pa.bool_()}
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("doc_id").take(rows),
+            part.column("text_hash").take(rows),
+            pa.array(own.at[start], pa.int32()),
+            pa.array(own.at[start] + (end - start), pa.int32()),
+            *[pa.array(values[f], kind) if f in values else pa.nulls(n, kind) for f, kind in fields.items()],
+        ],
+        names=[*ID, "start", "high", *fields],
+    )
+
+
+def _runs(found: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and word ends of runs of windows; ``new`` marks those that begin a run."""
+    first = np.flatnonzero(new)
+    last = np.append(first, len(found))[1:] - 1
+    return first, found[last] + WINDOW
+
+
+def _passages(part: pa.RecordBatch, own: Windows, found: np.ndarray) -> pa.RecordBatch:
+    key = own.key[found]
+    first, end = _runs(found, np.concatenate([[True] * (len(found) > 0), (np.diff(found) != 1) | (np.diff(key) != 0)]))
+    start, data = found[first], own.words.data.tobytes()
+    text = [data[a:b] for a, b in zip(own.words.start[start].tolist(), own.words.end[end - 1].tolist())]
+    return _rows(part, own, start, end, gram=own.gram[key[first]].astype(np.int64), passage=text)
+
+
+def _hot_windows(part: pa.RecordBatch, own: Windows, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    w = own.words.hash
+    w1, w2 = grams(w, WINDOW)[found], mix(grams(mix(w, 5), WINDOW)[found], 6)
+    _, once, same, count = np.unique(w1, return_index=True, return_inverse=True, return_counts=True)
+    sure = found[count[same] > 1]
+    first, end = _runs(sure, np.concatenate([[True] * (len(sure) > 0), (np.diff(sure) > WINDOW) | (np.diff(own.doc[sure]) != 0)]))
+    yield _rows(part, own, sure[first], end)
+    yield _rows(
+        part, own, found[once], found[once] + WINDOW, w1=w1[once].astype(np.int64), w2=w2[once].astype(np.int64), sure=count > 1
+    )
 
 
 class Reference:
@@ -154,7 +184,7 @@ class Reference:
         while width < depth:
             last = ranks[-1]
             following = np.zeros(n, dtype=np.int64)
-            following[: n - width] = last[width:] + 1
+            following[: max(0, n - width)] = last[width:] + 1
             ranks.append(np.unique(last * (n + 2) + following, return_inverse=True)[1].astype(np.int64))
             width *= 2
         order = np.argsort(ranks[-1], kind="stable")
@@ -244,8 +274,8 @@ def dedup_passages(docs: DataFrame, hot: int = HOT, block: int = BLOCK_PASSAGES)
     Only sampled n-grams move first, and their counts are combined before the shuffle. The
     passages left go to blocks of about ``block`` by their n-gram. An n-gram with more
     than ``hot`` occurrences is not gathered in a block: its windows are counted by a
-    128-bit hash, combined before the shuffle, and marked by a join whose hot side the
-    adaptive join splits, which is exact as well.
+    128-bit hash, combined before the shuffle, which is exact as well. Counts are written
+    before they are joined, so that the adaptive join can split a hot side.
 
     Null and empty texts have no words. Every row is a document, so rows that repeat are
     elsewhere to one another whatever their ids; null ids are an id like others. An empty
@@ -253,22 +283,19 @@ def dedup_passages(docs: DataFrame, hot: int = HOT, block: int = BLOCK_PASSAGES)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = docs.mapInArrow(emit_grams, "doc_id long, text_hash long, pos int, gram long")
-    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    counts = staged(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "passage-grams")
     usual = F.collect_set(F.when(F.col("n") <= hot, F.col("pos"))).alias("usual")
     marks = found.join(counts, "gram").groupBy(*ID).agg(usual, F.collect_set(F.when(F.col("n") > hot, F.col("pos"))).alias("hot"))
-    passages = staged(
-        _with(docs, marks, "inner")
-        .select(*ID, "text", "usual", "hot")
-        .mapInArrow(cut_passages, "doc_id long, text_hash long, start int, gram long, passage binary, w1 long, w2 long"),
-        "passages",
-    )
+    passages = staged(_with(docs, marks, "inner").select(*ID, "text", "usual", "hot").mapInArrow(cut_passages, PASSAGES), "passages")
     usual_ones = passages.where("passage is not null")
     blocks = max(1, -(-usual_ones.count() // block))
     dealt = usual_ones.withColumn("block", F.expr(f"pmod(xxhash64(gram), {blocks})")).select("block", *ID, "start", "passage")
     spans = dealt.groupBy("block").applyInPandas(factor_block, "doc_id long, text_hash long, low int, high int")
-    single = passages.where("passage is null").select(*ID, "start", "w1", "w2")
-    often = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    spans = spans.unionByName(single.join(often, ["w1", "w2"]).select(*ID, F.col("start").alias("low"), (F.col("start") + WINDOW).alias("high")))
+    single = passages.where("w1 is not null")
+    often = staged(single.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.bool_or("sure").alias("known")).where("n > 1 or known"), "hot-windows")
+    span = [*ID, F.col("start").alias("low"), "high"]
+    spans = spans.unionByName(passages.where("passage is null and w1 is null").select(*span))
+    spans = spans.unionByName(single.where("not sure").join(often.select("w1", "w2"), ["w1", "w2"], "left_semi").select(*span))
     gone = staged(spans.groupBy(*ID).agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), "passage-spans")
     none = F.array().cast("array<int>")
     joined = _with(docs, gone, "left").select("doc_id", "text", F.coalesce("lows", none).alias("lows"), F.coalesce("highs", none).alias("highs"))
