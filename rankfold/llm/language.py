@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .registry import query, table
 
 SAMPLE_DOCUMENTS = 300
+SPARE = 4
 SAMPLE_CHARACTERS = 1500
 DICTIONARY_BYTES = 1 << 19
 CHUNK_BYTES = 1024
@@ -46,22 +47,28 @@ def language_dictionaries(
 
     Each non-null ``lang`` gives the texts of its ``documents`` smallest hashes, one piece
     of at most ``characters`` from a place that the hash picks; the sample is at most
-    languages x documents x characters and goes to the driver. The window keeps the first
-    rows of each task before it shuffles, so a hot language stays small. Languages come
-    in descending number of rows, which decides between equal sizes.
+    languages x documents x characters and goes to the driver. A first draw by hash leaves
+    a few times the sample of each language, so its window does not grow with the table.
+    Languages come in descending number of rows, which decides between equal sizes.
     """
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    if not texts:
+        return {}
+    slots = 1 << 20  # the share of slots that leaves about SPARE times the sample of each language
+    share = {r["lang"]: max(1, min(slots, (SPARE * documents * slots) // r["count"])) for r in counts}
+    shares = F.create_map(*[F.lit(v) for pair in share.items() for v in pair])
     order = Window.partitionBy("lang").orderBy("draw", "text")
     sample = (
         docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
         .select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+        .where(F.pmod(F.col("draw"), F.lit(slots)) < shares[F.col("lang")])
         .withColumn("from", F.expr(f"1 + pmod(draw, greatest(char_length(text) - {characters} + 1, 1))"))
         .select("lang", "draw", F.substring("text", F.col("from").cast("int"), F.lit(characters)).alias("text"))
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= documents)
         .select("lang", "place", "text")
     )
-    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count()
-    texts: dict[str, list[str]] = {r.lang: [] for r in counts.orderBy(F.desc("count"), "lang").collect()}
     for row in sorted(sample.collect()):
         texts.setdefault(row.lang, []).append(letters(row.text))
     return {lang: "\n".join(own).encode()[-size:] for lang, own in texts.items() if own}
