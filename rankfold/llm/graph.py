@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges no longer change. Every
     round is a few shuffles of at most as many edges as before, written to the shared
-    folder. Minima are combined before the shuffle, and a node with very many edges is a
-    skewed join side that the adaptive join splits. Nulls, loops and repeated edges are
+    folder. Minima are combined before the shuffle and written, so that a node with very
+    many edges is a skewed side of a plain join, which the adaptive join splits. Nulls, loops and repeated edges are
     ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
@@ -25,10 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

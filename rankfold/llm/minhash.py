@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
     banded = classes.select("node", F.posexplode("bands").alias("band", "value"))
     hubs = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hubs = staged(hubs, "minhash-hubs")  # a written side lets the adaptive join split a hot band value
     edges = banded.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters = staged(connected_components(edges).withColumnRenamed("root", "cluster"), "minhash-clusters")
 
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root, large) links of the classes of each cluster, from their whole texts."""
     groups = max(1, -(-clusters.count() // GROUP_DOCUMENTS))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = staged(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "minhash-sizes")
     members = (
         clusters.join(sizes, "cluster")
         .withColumn("blocks", F.when(F.col("n") > WHOLE_CLUSTER, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
