@@ -216,6 +216,20 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, words: i
     return staged(found.applyInPandas(verifier(words, percent), "node long, root long, large boolean"), "minhash-links")
 
 
-@query()
+@query(
+    r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[p : p + 4], ' ') g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) p from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+h as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+l as (select a, b from h union all select b, a from h),
+r as (select doc_id a, doc_id b from documents union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, d.doc_id = component_id kept
+from documents d join c on c.a = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+)
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

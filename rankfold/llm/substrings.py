@@ -307,7 +307,18 @@ def _with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), how)
 
 
-@query()
+@query(
+    r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+g as (select doc_id, p, array_to_string(ws[p : p + 34], ' ') k from (select doc_id, ws, unnest(range(1, len(ws) - 33)) p from w)),
+d as (select k from g group by k having count(*) > 1),
+c as (select distinct doc_id, unnest(range(p, p + 35)) i from g where k in (from d)),
+x as (select doc_id, list(i) gone from c group by doc_id)
+select doc_id, len(ws)::bigint n_words, coalesce(len(gone), 0)::bigint n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda e, i: gone is null or not list_contains(gone, i)), ' '), '')) kept_sha256
+from w left join x using (doc_id)
+"""
+)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
