@@ -13,6 +13,7 @@ from rankfold.llm.packing import pack_sequences
 from rankfold.llm.stages import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMILAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
+    """One document of each group of near duplicates (Jaccard 0.8 or more), that of the smallest id."""
     docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    gone = near_duplicates(docs, percent=SIMILAR_PERCENT).where("not kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 

@@ -46,6 +46,24 @@ def test_stages_take_effect_and_keep_the_rest(spark):
     assert pieces == {i: (pieces[i][1] * n, pieces[i][1]) for i, n in times.items()}
 
 
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Of 100 words, two scattered ones changed leave 86 of 106 shingles, three 81 of 111."""
+    rows = []
+    for i in range(6):
+        own = [f"w{i}x{k}" for k in range(100)]
+        rows.append((10 * i, " ".join(own)))
+        own[20] = own[70] = "changed"
+        rows.append((10 * i + 1, " ".join(own)))
+        own[45] = "changed"
+        rows.append((10 * i + 5, " ".join(own[:70] + [f"v{i}"] + own[71:])))
+    sets = {i: brute_sets(t) for i, t in rows}
+    shares = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert any(0.8 <= s < 0.85 for s in shares.values())
+    found = roots([e for e, s in shares.items() if s >= 0.8], sets)
+    got = corpus_pipeline.minhash_dedup(spark, documents(spark, rows), SF)
+    assert {r.doc_id for r in got.collect()} == {i for i, root in found.items() if i == root}
+
+
 def test_empty_and_odd_tables(spark):
     rows = [*EDGES, *[(i, t, "en", "a", 1) for i, t in enumerate(texts(4, 12, 5, 60))]]
     for docs in (documents(spark, rows), documents(spark, rows).where("false")):
