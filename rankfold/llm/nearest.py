@@ -16,6 +16,7 @@ EVERY = 50
 FACTOR = 1.0
 SHARD, BLOCK, LEAF = 16384, 1024, 64
 SLACK = 1e-5
+CHUNK = 1 << 17
 
 
 class VantageTree:
@@ -66,6 +67,8 @@ class VantageTree:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chords between unit vectors. Of double-precision ones they are within SLACK also near
+    zero, where the root turns an error of the product into a far larger one."""
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
@@ -110,12 +113,27 @@ class Search:
         return rows[near], members[near]
 
 
-def build_shard(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("vec_id")
-    vectors = matrix(group["embedding"])
-    head = {c: [group[c].iloc[0]] for c in ("dim", "shard")}
-    tree = {k: [v] for k, v in VantageTree(unit(vectors)).parts().items()}
-    return pd.DataFrame({**head, "shard_ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "shard_vectors": [vectors.tobytes()], **tree})
+def least_copies(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Places of the first ``count`` rows of each distinct vector, in order."""
+    _, same = np.unique(np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    return np.sort(order[place < count])
+
+
+def shard_builder(count: int):
+    """Of equal vectors the ``count`` + 1 of the smallest ids stay: ties go to those, and one may be the query itself."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        vectors = matrix(group["embedding"])
+        head = {c: [group[c].iloc[0]] for c in ("dim", "shard")}
+        keep = least_copies(vectors, count + 1)
+        ids, vectors = group["vec_id"].to_numpy(np.int64)[keep], vectors[keep]
+        tree = {k: [v] for k, v in VantageTree(unit(vectors, np.float64)).parts().items()}
+        return pd.DataFrame({**head, "shard_ids": [ids.tobytes()], "shard_vectors": [vectors.tobytes()], **tree})
+
+    return run
 
 
 def searcher(count: int, factor: float):
@@ -127,10 +145,12 @@ def searcher(count: int, factor: float):
             tree = VantageTree.load(row.tree_order, row.ranges, row.radius, row.children)
             at = np.searchsorted(ids, own)
             at = np.where(ids[np.minimum(at, len(ids) - 1)] == own, at, -1)
-            search = Search(tree, unit(vectors), unit(queries), at, count, factor)
+            search = Search(tree, unit(vectors, np.float64), unit(queries, np.float64), at, count, factor)
             search.visit(0, np.arange(len(own)))
             q, x = search.pairs()
-            score = cosine(queries[q], vectors[x])
+            score = np.empty(len(q))
+            for i in range(0, len(q), CHUNK):
+                score[i : i + CHUNK] = cosine(queries[q[i : i + CHUNK]], vectors[x[i : i + CHUNK]])
             order = np.lexsort((ids[x], -score, q))
             q, x, score = q[order], x[order], score[order]
             place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -151,7 +171,9 @@ def nearest_vectors(
     are ranked. The far side of a vantage point is entered while its bound times
     ``factor`` is within the distance of the nearest found so far: a larger factor enters
     less, and factor one is exact search by the triangle inequality. Scores come from the
-    original vectors in double precision; ties go to the smaller id.
+    original vectors in double precision, as do the distances of the search; ties go to
+    the smaller id. Of equal vectors a shard holds the ``count`` + 1 of the smallest ids,
+    as no other can be among the nearest.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and null
     ids, take no part; vectors of another length are no candidates. A query gets fewer
@@ -171,7 +193,7 @@ def nearest_vectors(
     dealt = rows.join(sizes, "dim").withColumn("shard", part_of("vec_id", 2, "shards")).select("dim", "shard", "vec_id", "embedding")
     tree = "tree_order binary, ranges binary, radius binary, children binary"
     schema = f"dim int, shard int, shard_ids binary, shard_vectors binary, {tree}"
-    shards = staged(dealt.groupBy("dim", "shard").applyInPandas(build_shard, schema), "vector-trees")
+    shards = staged(dealt.groupBy("dim", "shard").applyInPandas(shard_builder(count), schema), "vector-trees")
 
     asked = plain(queries)
     blocks = asked.groupBy("dim").agg(F.count("*").alias("n")).selectExpr("dim", f"cast(ceil(n / {block}) as int) blocks")

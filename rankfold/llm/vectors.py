@@ -24,10 +24,10 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
-    """Float32 vectors of length one, scaled first so that squares neither overflow nor vanish."""
+def unit(vectors: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    """Vectors of length one, in float32 by default, scaled first so that squares neither overflow nor vanish."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(np.float32)
+    return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))).astype(kind)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -102,6 +102,25 @@ def test_nearest_is_exact_at_factor_one(spark, shard, block):
     assert want[9400, 1][0] == 9450 and (9400, 2) not in want
 
 
+def test_nearest_among_hundreds_of_copies(spark):
+    """Ties go to the smallest ids, whatever the order and shape of the products that measured the copies."""
+    draw = np.random.RandomState(11)
+    x = draw.normal(size=(3000, 64)).astype(np.float32)
+    for first, copies in ((1, 900), (2, 400)):
+        x[draw.choice(3000, copies, replace=False)] = x[first]
+    x[draw.choice(3000, 300, replace=False)] = 3 * x[5] + 1e-4 * draw.normal(size=(300, 64))
+    ids = draw.permutation(3000)
+    df = vectors(spark, [(int(i), v.tolist(), 1) for i, v in zip(ids, x)])
+    got = nearest.nearest_vectors(df, df.where("vec_id % 20 = 0")).collect()
+    wide, order = x.astype(float)[np.argsort(ids)], np.arange(3000)
+    want = {}
+    for i in range(0, 3000, 20):
+        score = (wide[i] * wide).sum(axis=1) / (np.sqrt((wide[i] * wide[i]).sum()) * np.sqrt((wide * wide).sum(axis=1)))
+        for rank, j in enumerate([j for j in np.lexsort((order, -score)) if j != i][:5], 1):
+            want[i, rank] = int(j)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == want
+
+
 def test_nearest_of_few_and_none(spark):
     df = vectors(spark, [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (None, [1.0, 0.0], 1), (0, [1.0, 0.0], 1)])
     got = nearest.nearest_vectors(df, df.where("vec_id = 0")).collect()
