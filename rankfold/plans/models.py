@@ -20,8 +20,6 @@ from .relative import adjusted
 from .roles import WITH_FIELD, WITH_RUNNERS, field, races, rounded, runners, table
 
 FEATURES = ("pred_a", "pred_b", "discount", "tax", "partant", "dist", "coursescheval", "ratio_places")
-SMALL_TREES = {"maxIter": 8, "maxDepth": 4}
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 
 
 def learning_rows(spark: SparkSession, sf: str):
@@ -142,7 +140,7 @@ def race_aware_split(spark: SparkSession, sf: str) -> DataFrame:
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = learning_rows(spark, sf)
     split = models.race_split(rows, "race_id")
-    model = models.fit_boosted(split.where(F.col("split") == "train"), FEATURES, "y", **SMALL_TREES)
+    model = models.fit_boosted(split.where(F.col("split") == "train"), FEATURES, "y")
     scored = models.predict(model, split.where(F.col("split") == "test"), FEATURES, "prediction")
     return scored.select("race_id", "numero", "position", "prediction")
 
@@ -150,7 +148,7 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gbt_importances(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = learning_rows(spark, sf)
-    model = models.fit_boosted(rows, FEATURES, "y", **SMALL_TREES)
+    model = models.fit_boosted(rows, FEATURES, "y")
     return models.best_features(models.importances(model.stages[-1], FEATURES, spark), 5, "importance")
 
 
@@ -160,7 +158,7 @@ def forest_weighted(spark: SparkSession, sf: str) -> DataFrame:
     rows, by_race = learning_rows(spark, sf)
     rows = row_number_within(rows, by_race, [F.col("pred_a").asc(), F.col("numero").asc()], "rank")
     rows = rows.withColumn("score", F.col("pred_a") * 0.2)
-    return scoring.incremental_refit(rows, "race_id", FEATURES, "score", "rank", "y", "odds", **SMALL_FOREST)
+    return scoring.incremental_refit(rows, "race_id", FEATURES, "score", "rank", "y", "odds")
 
 
 @query()
@@ -175,7 +173,7 @@ def isotonic(spark: SparkSession, sf: str) -> DataFrame:
 def calibrated_regressor(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = learning_rows(spark, sf)
     split = models.race_split(rows, "race_id")
-    model = models.CalibratedRegressor(FEATURES, "y").fit(split.where(F.col("split") == "train"), **SMALL_TREES)
+    model = models.CalibratedRegressor(FEATURES, "y").fit(split.where(F.col("split") == "train"))
     out = model.transform(split.where(F.col("split") == "test"))
     return out.select("race_id", "numero", "raw_prediction", "prediction")
 
@@ -184,7 +182,7 @@ def calibrated_regressor(spark: SparkSession, sf: str) -> DataFrame:
 def residual_by_type(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = learning_rows(spark, sf)
     rows = rows.withColumn("base", F.col("pred_b") / 5)
-    model = models.ResidualModels(["discount", "tax", "partant", "coursescheval"], "base", "y", "typec").fit(rows, **SMALL_FOREST)
+    model = models.ResidualModels(["discount", "tax", "partant", "coursescheval"], "base", "y", "typec").fit(rows)
     return model.transform(rows).select("race_id", "numero", "base", "corrected_prediction")
 
 
@@ -215,10 +213,10 @@ def pca_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def als_pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = runners(spark, sf)
-    horses, jockeys = models.pair_vectors(rows, "horse_id", "jockey_id", "position", 4, 3)
+    horses, jockeys = models.pair_vectors(rows, "horse_id", "jockey_id", "position")
     pairs = rows.select("horse_id", "jockey_id").distinct()
-    out = models.pair_vector_lookup(pairs, horses, jockeys, "horse_id", "jockey_id", 4)
-    return out.select("horse_id", "jockey_id", *[F.get("pair_vector", i).alias(f"v{i}") for i in range(4)])
+    out = models.pair_vector_lookup(pairs, horses, jockeys, "horse_id", "jockey_id", models.PAIR_RANK)
+    return out.select("horse_id", "jockey_id", *[F.get("pair_vector", i).alias(f"v{i}") for i in range(models.PAIR_RANK)])
 
 
 @query()
@@ -243,8 +241,8 @@ def model_properties(spark: SparkSession, sf: str) -> DataFrame:
     high = max(high, models.POSITION_RANGE[1])
     low, high = low - (high - low), high + (high - low)  # boosted trees add up and may pass the ends
     scored = {
-        "boosted": models.predict(models.fit_boosted(train, FEATURES, "y", **SMALL_TREES), test, FEATURES, "s"),
-        "forest": models.predict(models.fit_forest(train, FEATURES, "y", **SMALL_FOREST), test, FEATURES, "s"),
+        "boosted": models.predict(models.fit_boosted(train, FEATURES, "y"), test, FEATURES, "s"),
+        "forest": models.predict(models.fit_forest(train, FEATURES, "y"), test, FEATURES, "s"),
         "isotonic": models.apply_isotonic(test, models.fit_isotonic(train, "partant", "y"), "partant", "s"),
     }
     error = lambda c: F.avg(F.pow(c - F.col("y"), 2))
@@ -273,7 +271,7 @@ def scored_and_stored(spark: SparkSession, sf: str) -> DataFrame:
     split = models.race_split(rows, "race_id", 0.2)
     train, unseen = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     folder = tables.stage_path(spark, "models")
-    models.fit_boosted(train, FEATURES, "y", **SMALL_TREES).write().overwrite().save(f"{folder}/rf")
+    models.fit_boosted(train, FEATURES, "y").write().overwrite().save(f"{folder}/rf")
     models.fit_stacked(train, FEATURES, "y").write().overwrite().save(f"{folder}/tabnet")
     scorers = {name: (PipelineModel.load(f"{folder}/{name}"), FEATURES) for name in ("rf", "tabnet")}
     names = {"odds": "cotedirect", "dist": "distance"}
@@ -300,7 +298,7 @@ def scored_races(spark: SparkSession, sf: str) -> DataFrame:
     """The scoring job: two models, rule weights, competitive adjustment, calibration, order per race."""
     rows, by_race = learning_rows(spark, sf)
     train = models.race_split(rows, "race_id").where(F.col("split") == "train")
-    tree = models.fit_boosted(train, FEATURES, "y", **SMALL_TREES)
+    tree = models.fit_boosted(train, FEATURES, "y")
     line = models.fit_stacked(train, FEATURES, "y")
     shift = adjusted(spark, sf).select("race_id", "numero", "total_adjustment")
     rows = rows.join(shift, ["race_id", "numero"])
