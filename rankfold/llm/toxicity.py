@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .language import held_out
@@ -18,6 +18,7 @@ from .words import mix, slices
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
 POSITIVES, NEGATIVES, CHARACTERS = 2000, 4000, 6000
+BUDGETS = {1: POSITIVES * CHARACTERS, 0: NEGATIVES * CHARACTERS}
 ROUNDS, RATE, PENALTY = 60, 0.03, 1e-5
 CHUNK = 1 << 20
 SPARE = 4
@@ -81,28 +82,55 @@ def fit(texts: list[str | None], labels: list[int], odds: float | None = None, b
     return Model(w * ratio, b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int], float | None]:
+def within_budget(rows: list[Row], most: int, budget: int | None) -> list[Row]:
+    """The first ``most`` rows by their draw, or fewer once their characters have used the budget."""
+    taken, used = [], 0
+    for row in sorted(rows)[:most]:
+        if budget is not None and used >= budget:
+            break
+        taken.append(row)
+        used += row.characters
+    return taken
+
+
+def training_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    positives: int = POSITIVES,
+    negatives: int = NEGATIVES,
+    longest: int | None = CHARACTERS,
+    budgets: dict[int, int] | None = None,
+) -> tuple[list[str], list[int], float | None]:
     """Texts, labels and the odds of label 1 among all labelled rows; at most
     ``positives`` and ``negatives`` texts, those of the smallest hashes of their ids.
 
-    Texts above CHARACTERS are left out, not cut, as their label may rest on any part. The
-    bound on what reaches the driver is (positives + negatives) x CHARACTERS. Ids are
-    chosen first and only their texts move: a draw by hash leaves a few times the sample,
-    and the chosen ids, at most positives + negatives, are broadcast to the scan. An id
-    that repeats gives its least text.
+    Texts are never cut, as their label may rest on any part. ``longest`` leaves longer
+    ones out whole, which op7 doesn't do: ``budgets`` holds a total of characters for each
+    label, and rows are taken in the order of their hashes, long ones whole, until it is
+    used. The driver receives the budgets and one text more for each label, or (positives
+    + negatives) x ``longest``. Ids are chosen first and only their texts move: a draw by
+    hash leaves a few times the sample, and the chosen ids, at most positives + negatives,
+    are broadcast to the scan. An id that repeats gives its least text.
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = docs.where(F.col("doc_id").isNotNull() & (F.char_length("text") <= CHARACTERS)).select(F.col("doc_id").cast("long"), "text")
-    known = staged(marked.join(usable.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    if longest is not None:
+        usable = usable.where(F.char_length("text") <= longest)
+    sizes = usable.select("doc_id", F.char_length("text").alias("characters")).groupBy("doc_id").agg(F.max("characters").alias("characters"))
+    known = staged(marked.join(sizes, "doc_id"), "toxicity-labels")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     most, slots = {1: positives, 0: negatives}, 1 << 20
     near = F.lit(False)
     for label, count in counts.items():
         share = max(1, min(slots, SPARE * most[label] * slots // count))
         near = near | ((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share))
-    drawn = known.where(near).select(F.xxhash64("doc_id").alias("draw"), "doc_id", "toxic").collect()
-    chosen = {r.doc_id: int(r.toxic) for label in (1, 0) for r in sorted(r for r in drawn if r.toxic == label)[: most[label]]}
+    drawn = known.where(near).select(F.xxhash64("doc_id").alias("draw"), "doc_id", "toxic", "characters").collect()
+    chosen = {
+        r.doc_id: int(r.toxic)
+        for label in (1, 0)
+        for r in within_budget([r for r in drawn if r.toxic == label], most[label], (budgets or {}).get(label))
+    }
     if not chosen:
         return [], [], None
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
@@ -139,5 +167,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 @query()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_sample(docs.where(~held_out()), table(spark, sf_dir, "labels")))
+    model = fit(*training_sample(docs.where(~held_out()), table(spark, sf_dir, "labels"), longest=None, budgets=BUDGETS))
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -146,6 +146,33 @@ def test_toxicity_of_odd_input(spark):
     assert toxicity.training_sample(docs.where("false"), labels)[0] == []
 
 
+def test_toxicity_learns_from_long_texts(spark, folder):
+    """Toxic labels on long texts only: op7 trains on them and doesn't score all texts alike."""
+    draw, words = random.Random(4), texts(9, 1, 3000, 3001)[0].split(" ")
+    rows = []
+    for i in range(240):
+        own = [draw.choice(words) for _ in range(1800 if i % 4 == 0 else 60)]
+        if i % 4 == 0:
+            own[::40] = ["zzqbad"] * len(own[::40])
+        rows.append((i, " ".join(own)))
+    assert min(len(t) for i, t in rows if i % 4 == 0) > toxicity.CHARACTERS
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    got = toxicity.op7_toxicity(spark, folder).join(labels, "doc_id").where("held_out").toPandas()
+    assert got[got.toxic == 1].score.min() > got[got.toxic == 0].score.max()
+
+
+def test_toxicity_sample_keeps_to_its_budget(spark):
+    docs = documents(spark, [(i, "x" * (100 * (i % 5) + 100)) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    own, marks, _ = toxicity.training_sample(docs, labels, longest=None, budgets={1: 3000, 0: 6000})
+    sizes = [sum(len(t) for t, m in zip(own, marks) if m == label) for label in (1, 0)]
+    assert 3000 <= sizes[0] < 3500 and 6000 <= sizes[1] < 6500
+    assert {len(t) for t in own} == {100, 200, 300, 400, 500}
+    assert len(toxicity.training_sample(docs, labels, positives=5, negatives=7, longest=None)[0]) == 12
+
+
 def brute_targets(totals):
     names = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [s for s in totals if s is None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
