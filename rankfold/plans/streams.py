@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import existing, stage_path
+from ..sources.key_index import KeyIndex
+from ..sources.snapshots import Snapshots
+from ..sources.tables import stage_path, upsert
 from ..streaming import feed
+from ..streaming.ledger import Ledger
+from ..streaming.totals import RunningTotals
 from .registry import query
 from .roles import rounded, table
 
@@ -79,8 +83,9 @@ def stream_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
         spark, path, "user_id bigint, event_id bigint, ts timestamp, value double, bucket bigint", "parquet", files_per_batch=1
     )
     out = stage_path(spark, "users")
+    index = KeyIndex(spark, stage_path(spark, "users-index"), "user_id bigint", "bucket bigint")
     feed.upsert_stream(
-        stream, out, ["user_id"], [F.desc("ts"), F.desc("event_id")], "bucket", feed.checkpoint_path(spark, "users")
+        stream, out, ["user_id"], [F.desc("ts"), F.desc("event_id")], "bucket", feed.checkpoint_path(spark, "users"), index
     ).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id", "value")
 
@@ -130,15 +135,50 @@ def stream_rolling_health(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feed.rolling_health(daily))
 
 
-@query("SELECT user_id, count(*) AS starts, count(*) FILTER (WHERE event_type = 'purchase') AS wins, round(sum(value), 4) AS earnings FROM events GROUP BY user_id")
+def measures() -> dict[str, Column]:
+    return {"starts": F.lit(1), "wins": F.when(F.col("event_type") == "purchase", 1).otherwise(0), "earnings": F.col("value")}
+
+
+_TOTALS = "SELECT user_id, count(*) AS starts, count(*) FILTER (WHERE event_type = 'purchase') AS wins, round(sum(value), 4) AS earnings FROM {} GROUP BY user_id"
+
+
+def counted(sums: DataFrame) -> DataFrame:
+    """Totals with their counts as whole numbers."""
+    return rounded(sums.withColumns({c: F.col(c).cast("long") for c in ("starts", "wins")}), 4)
+
+
+@query(_TOTALS.format("events"))
 def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
-    stream = events_stream(spark, sf).withColumn("day", F.to_date("ts"))
-    path = stage_path(spark, "totals")
-    feed.running_totals(
-        stream, "user_id", "day", path, feed.checkpoint_path(spark, "totals"),
-        starts=F.lit(1), wins=F.when(F.col("event_type") == "purchase", 1).otherwise(0), earnings=F.col("value"),
-    ).awaitTermination()
-    return rounded(feed.read_totals(spark, path, "user_id", ["starts", "wins", "earnings"]), 4)
+    """Totals per user, added up over batches of a file."""
+    path = land(table(spark, sf, "events").withColumn("day", F.to_date("ts")).repartition(9, "event_id"), "events-in-files")
+    stream = feed.landed(spark, path, f"{EVENTS}, day date", "parquet", files_per_batch=1)
+    totals = RunningTotals(spark, stage_path(spark, "totals"), "user_id", "day", measures())
+    totals.start(stream, feed.checkpoint_path(spark, "totals")).awaitTermination()
+    return counted(totals.read())
+
+
+@query(
+    """
+WITH e AS (SELECT CASE WHEN event_id % 5 = 0 THEN user_id + 1 ELSE user_id END AS user_id, event_type,
+  CASE WHEN event_id % 5 = 0 THEN 2 * value ELSE value END AS value FROM events)"""
+    + _TOTALS.format("e")
+)
+def stream_corrected_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the events is delivered again on another day, for another user and with another value; later, all
+    come once more as an older version.
+    """
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    moved = events.where("event_id % 5 = 0").withColumns(
+        {"user_id": F.col("user_id") + 1, "value": F.col("value") * 2, "day": F.date_add("day", 1)}
+    )
+    path = stage_path(spark, "corrected")
+    for version, part in ((1, events), (2, moved), (0, events)):
+        part.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(path)  # a delivery is a file
+    stream = feed.landed(spark, path, f"{EVENTS}, day date, version int", "parquet", files_per_batch=1)
+    out = stage_path(spark, "totals")
+    totals = RunningTotals(spark, out, "user_id", "day", measures(), "event_id bigint", [F.desc("version")])
+    totals.start(stream, feed.checkpoint_path(spark, "totals")).awaitTermination()
+    return counted(totals.read().where("starts <> 0"))
 
 
 @query(
@@ -171,14 +211,67 @@ def ingest_redelivered(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first_day FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-15' GROUP BY event_type"""
 )
 def incremental_window(spark: SparkSession, sf: str) -> DataFrame:
-    """First run up to a day, second run over everything: the second sees only later days."""
+    """First run up to a day, second run over everything: the second sees only what the first has not."""
     source = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    path = stage_path(spark, "marks")
-    feed.incremental_run(source.where(F.col("day") <= "2024-01-15"), "day", path, lambda rows: rows)
-    fresh = feed.unseen(source, "day", existing(spark, path))
+    ledger, order = Ledger(spark, stage_path(spark, "ledger"), "event_id bigint"), [F.asc("event_id")]
+    ledger.run(source.where(F.col("day") <= "2024-01-15"), lambda rows: rows, order)
+    fresh = ledger.fresh(source, order)
     return fresh.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"))
 
 
+def three_deliveries(spark: SparkSession, sf: str) -> tuple[DataFrame, Snapshots]:
+    """An archive and the corrections learnt from it, after three deliveries.
+
+    The second holds the first once more and later days; the third holds everything: days
+    before those already processed, and other values for a part. Each run archives the
+    fresh rows by key and learns the corrections from the whole archive.
+    """
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts")).select("event_id", "day", "user_id", "event_type", "value")
+    early, on_time = F.col("day") <= "2024-01-12", F.col("event_id") % 17 != 0
+    other = F.when(F.col("event_id") % 23 == 0, F.col("value") * 10).otherwise(F.col("value"))
+    deliveries = (
+        events.where(early & on_time),
+        events.where((F.col("day") <= "2024-01-20") & on_time),
+        events.withColumn("value", other),
+    )
+    ledger = Ledger(spark, stage_path(spark, "ledger"), "event_id bigint")
+    path, index = stage_path(spark, "archive"), KeyIndex(spark, stage_path(spark, "archive-index"), "event_id bigint", "day date")
+    learnt = Snapshots(spark, stage_path(spark, "corrections"))
+    for number, delivery in enumerate(deliveries, 1):
+
+        def process(fresh: DataFrame, number: int = number) -> DataFrame:
+            rows = fresh.withColumn("run", F.lit(number))
+            archive = upsert(rows, path, ["event_id"], [F.desc("run")], "day", index=index)
+            error = F.col("value") - F.col("user_id") / 10
+            learnt.write(archive.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error")))
+            return rows.select("event_id", "run")
+
+        ledger.run(delivery, process, [F.asc("event_id")])
+    return spark.read.parquet(path), learnt
+
+
+@query(
+    """
+SELECT event_id, CAST(ts AS DATE) AS day, round(CASE WHEN event_id % 23 = 0 THEN value * 10 ELSE value END, 4) AS value,
+  CASE WHEN event_id % 17 = 0 OR event_id % 23 = 0 THEN 3 WHEN CAST(ts AS DATE) <= DATE '2024-01-12' THEN 1
+    WHEN CAST(ts AS DATE) <= DATE '2024-01-20' THEN 2 ELSE 3 END AS run FROM events"""
+)
+def incremental_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event in its last version, with the run that processed it: late days and corrections come, repeats don't."""
+    archive, _ = three_deliveries(spark, sf)
+    return rounded(archive.select("event_id", "day", "value", "run"), 4)
+
+
+@query(
+    """
+SELECT event_type, count(*) AS n, round(avg(CASE WHEN event_id % 23 = 0 THEN value * 10 ELSE value END - user_id / 10), 6) AS mean_error
+FROM events GROUP BY event_type"""
+)
+def incremental_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """The corrections after the last run."""
+    return rounded(three_deliveries(spark, sf)[1].read())
+
+
 @query(
     """
 SELECT event_id AS comp, CAST(ts AS DATE) AS jour, event_type AS typec, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, r_name AS region

@@ -11,6 +11,8 @@ from ..operators.grouping import row_number_within
 from ..operators.nesting import nest, order_strings, parse_nested, unnest
 from ..sources import races as scans
 from ..sources import tables
+from ..sources.key_index import KeyIndex
+from ..sources.snapshots import Snapshots
 from .registry import query
 from .roles import WITH_FIELD, WITH_RUNNERS, field, races, rounded, runners, table, venues
 
@@ -336,6 +338,23 @@ def checked_write(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumn("extra", F.array_join(pairs, ","))
 
 
+@query("SELECT p_partkey, p_size FROM part")
+def failed_write_keeps_the_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A second version that fails its check is never seen."""
+    rows, path = table(spark, sf, "part").select("p_partkey", "p_size"), tables.stage_path(spark, "snapshots")
+    tables.write_checked(rows, path)
+
+    def complete(written: DataFrame) -> None:
+        if written.where("p_size is null").limit(1).count():
+            raise ValueError("sizes are missing")
+
+    try:
+        tables.write_checked(rows.withColumn("p_size", F.when(F.col("p_size") > 25, F.col("p_size"))), path, [complete])
+    except ValueError:
+        pass
+    return Snapshots(spark, path).read()
+
+
 # --- Feed -----------------------------------------------------------------------
 
 
@@ -533,6 +552,29 @@ def upsert_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.drop("version"), 4)
 
 
+@query(
+    """
+SELECT o_orderkey AS comp, CASE WHEN o_orderpriority LIKE '1%' THEN 2001 WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INTEGER) END AS year,
+  CASE WHEN o_orderpriority LIKE '1%' THEN 5 WHEN o_orderpriority LIKE '2%' THEN 4 ELSE 3 END AS version FROM orders"""
+)
+def upsert_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Moved, null and unchanged days through a key index; an older delivery of all races changes nothing."""
+    day = F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("comp"), day.alias("year"), "o_orderpriority")
+    row = lambda rows, year, version: rows.select("comp", year.alias("year"), F.lit(version).alias("version"))
+    path = tables.stage_path(spark, "races")
+    index = KeyIndex(spark, tables.stage_path(spark, "races-index"), "comp bigint", "year int")
+    batches = (
+        row(orders, F.col("year"), 3),
+        row(orders.where(F.col("o_orderpriority").startswith("2")), F.col("year"), 4),
+        row(orders.where(F.col("o_orderpriority").startswith("1")), F.lit(2001), 5),
+        row(orders, F.lit(1970), 2),
+    )
+    for batch in batches:
+        out = tables.upsert(batch, path, ["comp"], [F.desc("version")], "year", index=index)
+    return out
+
+
 @query(
     """
 SELECT o_orderkey AS comp, round(CASE WHEN o_orderpriority LIKE '1%' THEN 2 * o_totalprice ELSE o_totalprice END, 4) AS cheque,

@@ -7,7 +7,7 @@ the partitions it touches, through the file commit protocol.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +26,14 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
 def existing(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The stored table, or None before the first write; a given schema spares reading all footers."""
-    files, hadoop_path = _file_system(spark, path)
+    files, hadoop_path = file_system(spark, path)
     if not files.exists(hadoop_path):
         return None
     reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
@@ -73,6 +73,7 @@ def upsert(
     partition: str,
     replace: bool = False,
     schema: StructType | None = None,
+    index=None,
 ) -> DataFrame:
     """Keyed upsert into a partitioned table; reads and rewrites only touched partitions.
 
@@ -81,14 +82,29 @@ def upsert(
     rewritten partitions are staged first, as a partition left empty is removed after the
     write. The driver receives one value per touched partition. ``schema`` is the stored
     table's; without it the footers of all files are read for columns added later.
+
+    Without ``index`` the keys of all stored rows are read to find moved ones. A
+    :class:`~rankfold.sources.key_index.KeyIndex` from the keys to the partition spares
+    that. It learns the batch's partitions before the table is written and is committed
+    after, so a run that fails in between leaves an index that knows both places. An
+    empty index of a stored table is filled from the table once.
     """
     spark = new.sparkSession
     old = existing(spark, path, schema)
     if old is None:
-        write_partitions(latest_rows(None, new, keys, version, replace), path, partition)
+        first = latest_rows(None, new, keys, version, replace)
+        run = index.add(first.select(*keys, partition)) if index is not None else None
+        write_partitions(first, path, partition)
+        if index is not None:
+            index.commit(run)
         return spark.read.schema(new.schema).parquet(path)
     old = old.withColumn(partition, F.col(partition).cast(new.schema[partition].dataType))
-    moved = join_on(old.select(*keys, partition), new.select(*keys), keys, "left_semi").select(partition)
+    if index is None:
+        moved = join_on(old.select(*keys, partition), new.select(*keys), keys, "left_semi").select(partition)
+    else:
+        if not index.committed():
+            index.commit(index.add(old.select(*keys, partition)))
+        moved = index.lookup(new.select(*keys)).select(partition)
     touched = [r[0] for r in new.select(partition).union(moved).distinct().collect()]
     known = [v for v in touched if v is not None]
     hit = F.col(partition).isin(*known) if known else F.lit(False)
@@ -97,13 +113,17 @@ def upsert(
     rows = latest_rows(old, new, keys, version, replace)
     rows.write.parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged)
+    if index is not None:
+        run = index.add(join_on(rows.select(*keys, partition), new.select(*keys), keys, "left_semi"))
     write_partitions(rows, path, partition)
     filled = {r[0] for r in rows.select(partition).distinct().collect()}
     for value in touched:
         if value not in filled:
             name = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
-            files, folder = _file_system(spark, f"{path}/{partition}={name}")
+            files, folder = file_system(spark, f"{path}/{partition}={name}")
             files.delete(folder, True)
+    if index is not None:
+        index.commit(run)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -222,12 +242,13 @@ def delete_archived(daily: DataFrame, archived: DataFrame, day: str, days: int)
     return daily.join(gone, "comp", "left_anti")
 
 
-def write_checked(df: DataFrame, path: str) -> DataFrame:
-    """Write Parquet with unsupported columns as JSON text, and check the row count.
+def write_checked(df: DataFrame, path: str, checks: Sequence[Callable[[DataFrame], None]] = ()) -> DataFrame:
+    """Replace the table at ``path`` by ``df``, unsupported columns as JSON text, once its rows are counted and checked.
 
-    The count comes from an observation of the write itself, so the source is read once.
+    A failure leaves the old rows: see :class:`~rankfold.sources.snapshots.Snapshots`,
+    whose ``read`` gives the current ones.
     """
-    from pyspark.sql import Observation
+    from .snapshots import Snapshots
 
     plain = df.select(
         *[
@@ -235,13 +256,7 @@ def write_checked(df: DataFrame, path: str) -> DataFrame:
             for c, t in df.dtypes
         ]
     )
-    seen = Observation()
-    plain.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    written = seen.get["rows"]
-    if back.count() != written:
-        raise RuntimeError(f"{path}: {back.count()} rows instead of {written}")
-    return back
+    return Snapshots(df.sparkSession, path).write(plain, checks)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

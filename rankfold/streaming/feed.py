@@ -1,4 +1,4 @@
-"""Daily feed, late results, rolling health and running totals as streams.
+"""Daily feed, late results and rolling health as streams.
 
 Every job takes a streaming frame and returns one, or starts a query with
 ``availableNow`` so that a scheduled run drains what has arrived and stops.
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grouping import first_per_key
-from ..sources.tables import existing, stage_path, upsert
+from ..sources.key_index import KeyIndex
+from ..sources.tables import stage_path, upsert
 
 
 def landed(spark: SparkSession, path: str, schema: str, kind: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -48,16 +49,18 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[Column], partition: str, checkpoint: str) -> StreamingQuery:
+def upsert_stream(
+    stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[Column], partition: str, checkpoint: str, index: KeyIndex | None = None
+) -> StreamingQuery:
     """Keyed latest-wins table of re-delivered records.
 
     A batch that is run again after a failure writes the same rows, so the result
-    does not change.
+    does not change. With an index a batch reads the partitions it touches only.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            upsert(first_per_key(batch, keys, version), path, keys, version, partition)
+            upsert(first_per_key(batch, keys, version), path, keys, version, partition, index=index)
 
     return drain(stream, write, checkpoint)
 
@@ -71,6 +74,7 @@ def ingest_races(
     day: str = "jour",
     supplement: DataFrame | None = None,
     delivered: str | None = None,
+    index: KeyIndex | None = None,
 ) -> StreamingQuery:
     """Feed rows → converted race rows → table keyed by race; a supplement fills gaps by a stream–static join.
 
@@ -85,7 +89,7 @@ def ingest_races(
             rows = fill_from(rows, supplement, [key])
         if not rows.isEmpty():
             version = [F.desc_nulls_last(delivered)] if delivered else []
-            upsert(rows, path, [key], version or [F.asc(key)], day, replace=delivered is None)
+            upsert(rows, path, [key], version or [F.asc(key)], day, replace=delivered is None, index=index)
 
     return drain(feed, write, checkpoint)
 
@@ -145,53 +149,5 @@ def rolling_health(daily: DataFrame, length: int = 30) -> DataFrame:
     )
 
 
-def running_totals(stream: DataFrame, entity: str, day: str, path: str, checkpoint: str, **measures: Column) -> StreamingQuery:
-    """Totals per entity and day, added up batch by batch.
-
-    A batch contributes one row per entity and day, so the table grows with days,
-    not with events, and a hot entity costs one row. Batches are kept apart by
-    their number: a repeated batch replaces its own rows.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        totals = batch.groupBy(entity, day).agg(*[F.sum(m).alias(name) for name, m in measures.items()])
-        (
-            totals.withColumn("batch", F.lit(number))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(path)
-        )
-
-    return drain(stream, write, checkpoint)
-
-
-def read_totals(spark: SparkSession, path: str, entity: str, measures: Sequence[str]) -> DataFrame:
-    """Current totals per entity of :func:`running_totals`."""
-    return spark.read.parquet(path).groupBy(entity).agg(*[F.sum(m).alias(m) for m in measures])
-
-
-def unseen(rows: DataFrame, day: str, marks: DataFrame | None) -> DataFrame:
-    """Rows after the highest day processed so far (the high-water mark)."""
-    if marks is None:
-        return rows
-    mark = marks.select(F.max(day)).scalar()
-    return rows.where(F.coalesce(F.col(day) > mark, F.lit(True)))
-
-
-def incremental_run(rows: DataFrame, day: str, path: str, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Process the unseen days once, and record them as done after the result is stored.
-
-    The result is written to the shared folder first; a run that fails before that leaves
-    its days unseen.
-    """
-    spark = rows.sparkSession
-    fresh = unseen(rows, day, existing(spark, path))
-    done = stage_path(spark, "incremental")
-    process(fresh).write.parquet(done)
-    fresh.select(day).distinct().write.mode("append").parquet(path)
-    return spark.read.parquet(done)
-
-
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     return stage_path(spark, f"{name}-checkpoint")
