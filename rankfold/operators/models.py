@@ -20,13 +20,17 @@ from .quality import correlated_pairs
 
 # Model settings and limits.
 GBT_SETTINGS = {"maxIter": 150, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
-FOREST_SETTINGS = {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all", "seed": 42}
+FOREST_SETTINGS = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42}
 RESIDUAL_SETTINGS = {
     "numTrees": 50, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42,
 }
 MIN_CALIBRATION_ROWS, CALIBRATOR_MAX_DAYS, CALIBRATOR_MIN_ROWS = 50, 90, 100
 POSITION_RANGE = (1.0, 20.0)
 MIN_TYPE_ROWS = 100
+SIGNIFICANT_GAIN = 0.02
+# Draws of the bootstrap: replicates, sums that races are dealt to, and the distribution function of Poisson(1).
+REPLICATES, RACE_BUCKETS = 200, 1000
+POISSON_STEPS = (0.367879, 0.735759, 0.919699, 0.981012, 0.99634, 0.999406, 0.999917, 0.99999)
 PAIR_RANK = 8
 
 
@@ -271,8 +275,43 @@ def fit_stacked(df: DataFrame, predictions: Sequence[str], target: str) -> Pipel
     return _fit(df, predictions, LinearRegression(labelCol=target))
 
 
-def significant_gain(baseline_mae: float, mae: float, limit: float = 0.02) -> bool:
-    return baseline_mae > 0 and (baseline_mae - mae) / baseline_mae > limit
+def paired_gain(
+    df: DataFrame, race: str, baseline: str, refit: str, actual: str, limit: float = SIGNIFICANT_GAIN, replicates: int = REPLICATES
+) -> DataFrame:
+    """One row: errors of two scores on the same rows, the gain, its 95 % interval, and two judgements.
+
+    ``significant`` compares the gain with the fixed limit. ``certain`` says that the
+    interval, from a Poisson bootstrap that draws whole races, lies above zero. Races are
+    dealt to RACE_BUCKETS sums first, so the replicates cost the same for any number of
+    races, and draws come from hashes, so they repeat. Rows without one of the scores or
+    the result are left out of both sides.
+    """
+    known = df.where(F.col(baseline).isNotNull() & F.col(refit).isNotNull() & F.col(actual).isNotNull())
+    off = lambda c: F.sum(F.abs(F.col(c) - F.col(actual)))
+    slot = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    bucket = slot(F.coalesce(F.col(race).cast("string"), F.lit(""))) % RACE_BUCKETS
+    sums = known.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), off(baseline).alias("b"), off(refit).alias("r"))
+    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicates))))  # draw 0 takes every race once
+    u = slot(F.concat_ws(":", F.col("bucket").cast("string"), F.col("draw").cast("string"))) / 4294967296.0
+    times = F.lit(0)
+    for chance in POISSON_STEPS:
+        times = times + (u >= chance).cast("int")
+    weight = F.when(F.col("draw") == 0, 1).otherwise(times)
+    drawn = each.groupBy("draw").agg(*[F.sum(F.col(c) * weight).alias(c) for c in ("n", "b", "r")])
+    gain = F.try_divide(F.col("b") - F.col("r"), F.col("b"))
+    first = lambda c: F.max(F.when(F.col("draw") == 0, c))
+    interval = F.percentile(F.when(F.col("draw") > 0, gain), F.array(F.lit(0.025), F.lit(0.975)))
+    out = drawn.agg(
+        first(F.col("n")).alias("rows"),
+        first(F.try_divide(F.col("b"), F.col("n"))).alias("baseline_mae"),
+        first(F.try_divide(F.col("r"), F.col("n"))).alias("refit_mae"),
+        first(gain).alias("gain"),
+        interval.alias("i"),
+    )
+    return out.select(
+        "rows", "baseline_mae", "refit_mae", "gain", F.get("i", 0).alias("gain_low"), F.get("i", 1).alias("gain_high"),
+        F.coalesce(F.col("gain") > limit, F.lit(False)).alias("significant"), F.coalesce(F.get("i", 0) > 0, F.lit(False)).alias("certain"),
+    )
 
 
 # --- Isotonic calibration --------------------------------------------------------------
@@ -376,28 +415,42 @@ class ResidualModels:
     by_kind: dict[str, PipelineModel] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, **settings) -> ResidualModels:
+        """``df`` is read once and written in a folder per type; the model of a type reads its folder."""
         inputs = [*self.columns, self.predicted]
         error = (F.col(self.actual) - F.col(self.predicted)).alias("__error")
-        rows = reliable_checkpoint(df.select(*inputs, self.kind, error))  # read once per model
+        folder = F.concat(F.lit("k"), F.col(self.kind).cast("string")).alias("__part")
+        rows = self._by_part(df.select(*inputs, error, folder), "residual-fit").where(F.col("__error").isNotNull())
         options = {**RESIDUAL_SETTINGS, **settings}
         self.overall = fit_forest(rows, inputs, "__error", **options)
-        counts = rows.where(F.col(self.kind).isNotNull()).groupBy(self.kind).count().where(F.col("count") >= MIN_TYPE_ROWS)
+        counts = rows.where(F.col("__part").isNotNull()).groupBy("__part").count().where(F.col("count") >= MIN_TYPE_ROWS)
         # One model, and one value on the driver, per race type; each model is fitted on the cluster.
-        kinds = [r[0] for r in counts.orderBy(F.desc("count"), self.kind).collect()]
-        self.by_kind = {k: fit_forest(rows.where(F.col(self.kind) == k), inputs, "__error", **options) for k in kinds}
+        kinds = [r[0][1:] for r in counts.orderBy(F.desc("count"), "__part").collect()]
+        self.by_kind = {k: fit_forest(rows.where(F.col("__part") == f"k{k}"), inputs, "__error", **options) for k in kinds}
         return self
 
+    @staticmethod
+    def _by_part(df: DataFrame, name: str) -> DataFrame:
+        from ..sources.tables import stage_path
+
+        path = stage_path(df.sparkSession, name)
+        df.hint("rebalance", F.col("__part")).write.partitionBy("__part").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def transform(self, df: DataFrame, name: str = "corrected_prediction") -> DataFrame:
-        """Base prediction plus residual, at least 1; unknown types use the overall model."""
-        inputs = [*self.columns, self.predicted]
-        df = reliable_checkpoint(df)
-        parts = [
-            predict(model, df.where(F.col(self.kind) == k), inputs, "__residual") for k, model in self.by_kind.items()
-        ]
-        rest = df.where(F.col(self.kind).isNull() | ~F.col(self.kind).isin(*self.by_kind)) if self.by_kind else df
-        out = predict(self.overall, rest, inputs, "__residual")
-        for part in parts:
-            out = out.unionByName(part)
+        """Base prediction plus residual, at least 1; null, rare and unknown types use the overall model.
+
+        ``df`` is read once and written in a folder per model; each model reads its own.
+        """
+        inputs, chosen = [*self.columns, self.predicted], list(self.by_kind)
+        kind = F.col(self.kind).cast("string")
+        part = F.lit(-1)
+        for number, k in enumerate(chosen):
+            part = F.when(kind == k, number).otherwise(part)
+        rows = self._by_part(df.withColumn("__part", part), "residual-scoring")
+        out = None
+        for number, model in [(-1, self.overall), *enumerate(self.by_kind.values())]:
+            scored = predict(model, rows.where(F.col("__part") == number).drop("__part"), inputs, "__residual")
+            out = scored if out is None else out.unionByName(scored)
         return out.withColumn(name, F.greatest(F.lit(1.0), F.col(self.predicted) + F.col("__residual"))).drop("__residual")
 
 

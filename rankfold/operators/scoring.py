@@ -54,12 +54,18 @@ def training_rows(predictions: DataFrame, results: DataFrame, keys: Sequence[str
 
 
 def incremental_refit(
-    rows: DataFrame, race: str, columns: Sequence[str], score: str, rank: str, actual: str, odds: str, numero: str = "numero", **settings
+    rows: DataFrame, race: str, columns: Sequence[str], score: str, rank: str, actual: str, odds: str, numero: str = "numero",
+    day: str | None = None, days: int | None = None, **settings
 ) -> DataFrame:
     """Refit on failures: weights by failure, a weighted forest, errors before and after on held-out races.
 
-    Both sides of the comparison are measured on the same test races.
+    Both sides of the comparison are measured on the same test races; the paired
+    comparison is in the columns of ``models.paired_gain``. With ``days`` only races of the
+    last days before the newest ``day`` are used.
     """
+    if days is not None:
+        newest = rows.select(F.max(day)).scalar()
+        rows = rows.where(F.col(day) > F.date_sub(newest, days))
     card = failures.analyze(rows, [race], numero, score, rank, actual, odds)
     weighted = failures.weighted_rows(rows, card, [race])
     split = models.race_split(weighted, race)
@@ -69,6 +75,9 @@ def incremental_refit(
     side = lambda name, column: tested.agg(*[c.alias(n) for n, c in regression_metrics(column, actual).items()]).withColumn(
         "model", F.lit(name)
     )
-    return side("baseline", score).unionByName(side("refit", "refit_prediction"))
+    gain = models.paired_gain(tested, race, score, "refit_prediction", actual).select("gain", "gain_low", "gain_high", "significant", "certain")
+    both = side("baseline", score).unionByName(side("refit", "refit_prediction"))
+    judged = gain.withColumn("model", F.lit("refit"))
+    return both.join(judged, "model", "left")
 
 

@@ -180,10 +180,133 @@ def calibrated_regressor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def residual_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections of races that the error models haven't seen."""
     rows, _ = learning_rows(spark, sf)
-    rows = rows.withColumn("base", F.col("pred_b") / 5)
-    model = models.ResidualModels(["discount", "tax", "partant", "coursescheval"], "base", "y", "typec").fit(rows)
-    return model.transform(rows).select("race_id", "numero", "base", "corrected_prediction")
+    split = models.race_split(rows.withColumn("base", F.col("pred_b") / 5), "race_id")
+    model = models.ResidualModels(["discount", "tax", "partant", "coursescheval"], "base", "y", "typec")
+    model.fit(split.where(F.col("split") == "train"))
+    return model.transform(split.where(F.col("split") == "test")).select("race_id", "numero", "base", "corrected_prediction")
+
+
+@query(
+    WITH_FIELD
+    + """,
+h AS (SELECT *, ('0x' || substr(md5(race_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS slot FROM field)
+SELECT typec, count(*) AS rows, count(DISTINCT race_id) AS races, round(avg(abs(pred_b / 5 - position)), 6) AS base_mae, true AS at_least_one, true AS better
+FROM h WHERE slot < 0.2 GROUP BY typec"""
+)
+def residual_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Per race type, on races that the error models haven't seen: every row corrected once, and nearer to the finish."""
+    rows, _ = learning_rows(spark, sf)
+    split = models.race_split(rows.withColumn("base", F.col("pred_b") / 5), "race_id")
+    model = models.ResidualModels(["discount", "tax", "partant", "coursescheval"], "base", "y", "typec")
+    model.fit(split.where(F.col("split") == "train"))
+    out = model.transform(split.where(F.col("split") == "test"))
+    off = lambda c: F.avg(F.abs(F.col(c) - F.col("y")))
+    return rounded(
+        out.groupBy("typec").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_distinct("race_id").alias("races"),
+            off("base").alias("base_mae"),
+            F.bool_and(F.col("corrected_prediction") >= 1).alias("at_least_one"),
+            (off("corrected_prediction") < off("base")).alias("better"),
+        )
+    )
+
+
+@query(
+    WITH_RUNNERS
+    + """,
+g AS (SELECT ('0x' || substr(md5(race_id::VARCHAR), 1, 8))::BIGINT % 1000 AS bucket, count(*) AS n, sum(abs(pred_a * 0.2 - position)) AS b,
+        sum(abs(pred_b / 12 - position)) AS r FROM runners GROUP BY 1),
+e AS (SELECT g.*, draw, ('0x' || substr(md5(bucket || ':' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM g, range(201) d(draw)),
+w AS (SELECT *, CASE WHEN draw = 0 THEN 1 ELSE """
+    + " + ".join(f"(u >= {chance})::INT" for chance in models.POISSON_STEPS)
+    + """ END AS t FROM e),
+s AS (SELECT draw, sum(n * t) AS n, sum(b * t) AS b, sum(r * t) AS r FROM w GROUP BY draw),
+o AS (SELECT max(n) FILTER (WHERE draw = 0) AS rows, max(b / n) FILTER (WHERE draw = 0) AS baseline_mae, max(r / n) FILTER (WHERE draw = 0) AS refit_mae,
+        max((b - r) / b) FILTER (WHERE draw = 0) AS gain, quantile_cont((b - r) / b, 0.025) FILTER (WHERE draw > 0) AS gain_low,
+        quantile_cont((b - r) / b, 0.975) FILTER (WHERE draw > 0) AS gain_high FROM s)
+SELECT rows::BIGINT AS rows, round(baseline_mae, 6) AS baseline_mae, round(refit_mae, 6) AS refit_mae, round(gain, 6) AS gain, round(gain_low, 6) AS gain_low,
+  round(gain_high, 6) AS gain_high, gain > 0.02 AS significant, gain_low > 0 AS certain FROM o"""
+)
+def refit_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether one score beats another: by the fixed limit, and by an interval from races drawn anew."""
+    rows, _ = runners(spark, sf)
+    rows = rows.withColumns({"old": F.col("pred_a") * 0.2, "new": F.col("pred_b") / 12})
+    return rounded(models.paired_gain(rows, "race_id", "old", "new", "position"))
+
+
+@query(
+    WITH_RUNNERS
+    + """,
+p AS (SELECT round(pred_b, 0) AS x, avg(least(20.0, greatest(1.0, position::DOUBLE))) AS y, count(*) AS w FROM runners GROUP BY 1),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y * w) OVER (ORDER BY x) AS s, sum(w) OVER (ORDER BY x) AS v FROM p),
+z AS (SELECT i, s, v FROM c UNION ALL SELECT 0, 0.0, 0),
+m AS (SELECT k.x, a.i AS a, min((b.s - a.s) / (b.v - a.v)) AS least FROM c k JOIN z a ON a.i < k.i JOIN c b ON b.i >= k.i GROUP BY k.x, a.i)
+SELECT x AS score, round(max(least), 6) AS calibrated FROM m GROUP BY x"""
+)
+def isotonic_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """The curve at every score: the greatest over starts of the least mean over ends, by its definition."""
+    rows, _ = runners(spark, sf)
+    rows = rows.select(F.round("pred_b", 0).alias("score"), F.col("position").cast("double").alias("y"))
+    curve = models.fit_isotonic(rows, "score", "y", digits=0)
+    return rounded(models.apply_isotonic(rows.select("score").distinct(), curve, "score", "calibrated"))
+
+
+@query(
+    WITH_RUNNERS
+    + """,
+u AS (UNPIVOT (SELECT corr(pred_a, pred_b) AS ab, corr(pred_a, discount) AS ad, corr(pred_a, tax) AS at, corr(pred_b, discount) AS bd,
+        corr(pred_b, tax) AS bt, corr(discount, tax) AS dt FROM runners) ON COLUMNS(*) INTO NAME pair VALUE r)
+SELECT 4.0::DOUBLE AS variance, round(4 + 2 * sum(r * r), 6) AS squares, true AS uncorrelated, true AS descending FROM u"""
+)
+def pca_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What no sign or rotation changes: all variance is kept, the sum of its squares is that of all correlations,
+    components are uncorrelated and in descending order.
+    """
+    rows, _ = runners(spark, sf)
+    columns = ["pred_a", "pred_b", "discount", "tax"]
+    rows = rows.withColumn("key", F.concat_ws(":", "race_id", "numero"))
+    out, _ = models.vectors(rows, columns, 4, "key")
+    parts = out.select(*[F.get("vector", i).alias(f"p{i}") for i in range(4)])
+    spread = [F.var_samp(f"p{i}") for i in range(4)]
+    mixed = [F.abs(F.covar_samp(f"p{i}", f"p{j}")) for i in range(4) for j in range(i)]
+    row = parts.agg(F.array(*spread).alias("v"), F.greatest(*mixed).alias("m"))
+    total = lambda f: F.aggregate("v", F.lit(0.0), f)
+    return rounded(
+        row.select(
+            total(lambda a, b: a + b).alias("variance"),
+            total(lambda a, b: a + b * b).alias("squares"),
+            (F.col("m") < 1e-6).alias("uncorrelated"),
+            (F.sort_array("v", asc=False) == F.col("v")).alias("descending"),
+        )
+    )
+
+
+@query(
+    WITH_RUNNERS
+    + """
+SELECT count(DISTINCT (horse_id, jockey_id)) AS pairs, count(DISTINCT horse_id) AS horses, count(DISTINCT jockey_id) AS jockeys,
+  true AS better_than_the_mean, true AS unknown_is_zero FROM runners"""
+)
+def als_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Products of the pair vectors come nearer to the ratings than their mean; an unknown pair has zeros."""
+    rows, _ = runners(spark, sf)
+    horses, jockeys = models.pair_vectors(rows, "horse_id", "jockey_id", "position")
+    rated = rows.groupBy("horse_id", "jockey_id").agg(F.avg((F.col("position") <= 3).cast("double")).alias("rating"))
+    unknown = rated.limit(1).select(F.lit(-1).cast("long").alias("horse_id"), "jockey_id", F.lit(None).cast("double").alias("rating"))
+    both = models.pair_vector_lookup(rated.unionByName(unknown), horses, jockeys, "horse_id", "jockey_id", models.PAIR_RANK)
+    guess = F.aggregate("pair_vector", F.lit(0.0), lambda a, b: a + b)
+    known = F.col("horse_id") >= 0
+    off = F.avg(F.when(known, F.pow(guess - F.col("rating"), 2)))
+    return both.agg(
+        F.count(F.when(known, 1)).alias("pairs"),
+        F.count_distinct(F.when(known, F.col("horse_id"))).alias("horses"),
+        F.count_distinct(F.when(known, F.col("jockey_id"))).alias("jockeys"),
+        (off < F.var_pop("rating")).alias("better_than_the_mean"),
+        F.bool_and(known | (F.array_max(F.transform("pair_vector", F.abs)) == 0)).alias("unknown_is_zero"),
+    )
 
 
 @query(
@@ -297,7 +420,8 @@ def scored_and_stored(spark: SparkSession, sf: str) -> DataFrame:
 def scored_races(spark: SparkSession, sf: str) -> DataFrame:
     """The scoring job: two models, rule weights, competitive adjustment, calibration, order per race."""
     rows, by_race = learning_rows(spark, sf)
-    train = models.race_split(rows, "race_id").where(F.col("split") == "train")
+    rows = models.race_split(rows, "race_id", name="part")
+    train = rows.where(F.col("part") == "train")
     tree = models.fit_boosted(train, FEATURES, "y")
     line = models.fit_stacked(train, FEATURES, "y")
     shift = adjusted(spark, sf).select("race_id", "numero", "total_adjustment")
@@ -305,7 +429,8 @@ def scored_races(spark: SparkSession, sf: str) -> DataFrame:
     scorers = {"rf": (tree, FEATURES), "tabnet": (line, FEATURES)}
     plain = scoring.score_races(rows, by_race, scorers, RULES, DEFAULT, adjustment="total_adjustment")
     plain = plain.withColumnsRenamed({"odds": "cotedirect", "dist": "distance"})
-    stats = calibration.bias_table(plain, "final_prediction", "position")
+    unseen = plain.where(F.col("part") == "test")  # corrections come from races that the models haven't seen
+    stats = calibration.bias_table(unseen, "final_prediction", "position")
     table_ = stats.select("bias_type", "bucket", (-F.col("mean_error")).alias("correction"))
     final = calibration.apply_corrections(plain, table_, "final_prediction", "final_prediction", mode="single")
     ranked = row_number_within(
