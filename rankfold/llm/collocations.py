@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranks import ranked
 from .registry import query, table
 from .stages import staged
 from .words import mix, slices
@@ -20,10 +19,10 @@ from .words import mix, slices
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-BLOCK_BYTES = 4 << 20
-FILTER_GRAMS = 2 << 20  # n-grams that a task gathers before it writes a filter
+BLOCK_BYTES = 2 << 20
+FILTER_GRAMS = 1 << 19  # n-grams that a task gathers before it writes a filter
 BUCKET_GRAMS = 1 << 18  # n-grams of the corpus per quotient bucket, that is per merge
-MASK_BITS = 26  # bits of the mask of frequent n-grams, 8 MB at any size of the corpus
+MASK_BITS = 26  # as a power of two, bits of a mask of frequent n-grams: 8 MB at any size of the corpus
 ROUNDS = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,7 +64,7 @@ def coded(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     numbers = words.dictionary_encode()
     ids = numbers.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    piece = np.cumsum(kind == 2)[start] if len(start) else np.zeros(0, dtype=np.int64)
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     place = np.arange(len(ids))
     if len(ids):
         place[1:] += np.cumsum(piece[1:] != piece[:-1])
@@ -84,28 +83,54 @@ def widened(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u4" if data[0] == 4 else "<u2", offset=1).astype(np.uint64)
 
 
+def hashed(words: list[bytes], lang: str, seed: int) -> np.ndarray:
+    """64-bit hash of each word of a language."""
+    start, out = hashlib.blake2b(f"{seed}:{lang}:".encode(), digest_size=8), []
+    for word in words:
+        own = start.copy()
+        own.update(word)
+        out.append(own.digest())
+    return np.frombuffer(b"".join(out), dtype="<i8")
+
+
+def with_hashes(seed: int):
+    """Adds ``hash`` to rows of lang and word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, words = batch.column("lang").to_pylist(), batch.column("word").cast(pa.binary()).to_pylist()
+            own = [hashed([word], lang, seed)[0] for lang, word in zip(langs, words)]
+            yield batch.append_column("hash", pa.array(own, pa.int64()))
+
+    return run
+
+
 BLOCKS = pa.schema(
-    [("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("sequence", pa.binary())]
+    [
+        ("lang", pa.string()),
+        ("words", pa.list_(pa.string())),
+        ("counts", pa.list_(pa.int64())),
+        ("hashes", pa.list_(pa.int64())),
+        ("sequence", pa.binary()),
+    ]
 )
 
 
-def block_writer(limit: int):
+def block_writer(limit: int, seed: int):
     """Texts of a task to blocks: runs of texts of one language with their own word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
         pending: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
         def block(lang: str) -> Iterator[pa.RecordBatch]:
-            nonlocal number
             sizes.pop(lang)
             for data in chunks(b"\n".join(pending.pop(lang)), limit):
                 words, counts, sequence = coded(data)
                 if len(words):
-                    row = [[number], [lang], [words.to_pylist()], [counts], [narrow(sequence)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, BLOCKS)], schema=BLOCKS)
-                    number += 1
+                    hashes = hashed(words.cast(pa.binary()).to_pylist(), lang, seed)
+                    lists = [pa.ListArray.from_arrays([0, len(words)], v) for v in (words, pa.array(counts), pa.array(hashes))]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), *lists, pa.array([narrow(sequence)], pa.binary())], schema=BLOCKS)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -125,33 +150,38 @@ def block_writer(limit: int):
     return run
 
 
-def word_ids(blocks: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id) of the words that occur at least ``least`` times in their language; ids from 1."""
-    counts = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    frequent = counts.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least)
-    numbered = ranked(frequent.withColumn("one", F.lit(0)), "one", ["lang", "word"])
-    return staged(numbered.select("lang", "word", "f", (F.col("lo") + 1).alias("id")), "phrase-words")
+def word_ids(docs: DataFrame, least: int, block_bytes: int, mask_bits: int, id_bits: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(blocks, words, bits): texts in blocks, and (lang, word, f, id, slot) of the words that occur ``least`` times or more.
 
+    A word's id is the head of its hash, so a task knows it without a look-up. The length
+    is taken from the number of words, so that a frequent word hardly ever shares its id;
+    that none does is checked over all words, rare ones included, and the hash is changed
+    until it holds. So ids are as good as numbers.
+    """
+    lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")
+    docs = docs.select(lang.alias("lang"), text.alias("text"))
+    for seed in range(64):
+        schema = "lang string, words array<string>, counts array<long>, hashes array<long>, sequence binary"
+        blocks = staged(docs.mapInArrow(block_writer(block_bytes, seed), schema), "phrase-blocks")
+        each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+        counts = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
+        counts = staged(counts.mapInArrow(with_hashes(seed), "lang string, word string, f long, hash long"), "phrase-words")
+        every, often = counts.agg(F.count(F.lit(1)), F.count_if(F.col("f") >= least)).head()
+        bits = min(63, (id_bits or max(1, every * often).bit_length() + 4) + seed)
+        counts = counts.withColumn("id", F.shiftrightunsigned("hash", 64 - bits))
+        shared = counts.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f")).where((F.col("n") > 1) & (F.col("f") >= least))
+        if shared.isEmpty():
+            break
+    else:
+        raise RuntimeError("no hash of words without clashes was found")
 
-def renumbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequences of a block's own word numbers to those of the corpus; other words are 0, like breaks."""
-    for batch in batches:
-        out = []
-        for sequence, size, places, ids in zip(*[column.to_pylist() for column in batch.columns]):
-            known = np.zeros(size + 1, dtype=np.uint32)
-            known[np.array(places, dtype=np.int64) + 1] = ids
-            new = known[widened(sequence).astype(np.int64)]
-            out.append(narrow(new[(new > 0) | np.concatenate([[False], new[:-1] > 0])]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["sequence"])
-
+    def with_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.uint64)
+            yield batch.append_column("slot", pa.array(slot([ids], mask_bits).astype(np.int64)))
 
-def numbered_sequences(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """The word sequences in corpus-wide numbers. Distinct words of a block move, and each block once."""
-    own = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    found = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block")
-    found = found.agg(F.collect_list(F.struct("place", "id")).alias("found"))
-    both = blocks.select("block", "sequence", F.size("words").alias("size")).join(found, "block")
-    return staged(both.select("sequence", "size", "found.place", "found.id").mapInArrow(renumbered, "sequence binary"), "phrase-sequences")
+    frequent = counts.where(F.col("f") >= least).select("lang", "word", "f", "id")
+    return blocks, staged(frequent.mapInArrow(with_slots, "lang string, word string, f long, id long, slot long"), "phrase-ids"), bits
 
 
 # --- Counting quotient filters ----------------------------------------------------
@@ -277,25 +307,34 @@ def slot(ids: list[np.ndarray], mask_bits: int) -> np.ndarray:
     return mix(total, 77) >> np.uint64(64 - mask_bits)
 
 
-def gram_filters(length: int, bits: int, bucket_bits: int, mask, mask_bits: int, gather: int):
-    """Word sequences of a task to filters of their n-grams, one per bucket for every ``gather`` n-grams.
+def gram_filters(length: int, bits: int, bucket_bits: int, word_mask, mask, mask_bits: int, gather: int):
+    """Blocks of a task to filters of their n-grams, one per bucket for every ``gather`` n-grams.
 
-    ``mask`` holds every frequent (n-1)-gram; an n-gram is counted if the two it consists
-    of may be frequent. A false hit costs its counting, nothing else.
+    ``word_mask`` holds every frequent word and ``mask`` every frequent (n-1)-gram; an
+    n-gram is counted if all that it consists of may be frequent. A false hit costs its
+    counting, nothing else.
     """
 
-    def grams(sequence: np.ndarray) -> list[np.ndarray]:
-        windows = [sequence[j : len(sequence) - length + 1 + j] for j in range(length)]
-        use = np.all([w > 0 for w in windows], axis=0)
+    def held(mask, at: np.ndarray) -> np.ndarray:
+        at = at.astype(np.int64)
+        return (mask.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def grams(sequence: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        own = hashes.view(np.uint64) >> np.uint64(64 - bits)
+        number = sequence.astype(np.int64)
+        known = np.concatenate([[False], held(word_mask, slot([own], mask_bits))])[number]
+        ids = np.concatenate([np.zeros(1, dtype=np.uint64), own])[number]
+        count = len(ids) - length + 1
+        use = np.all([known[j : count + j] for j in range(length)], axis=0)
         if mask is not None:
-            at = slot([sequence[j : len(sequence) - length + 2 + j] for j in range(length - 1)], mask_bits).astype(np.int64)
-            hit = (mask.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            hit = held(mask, slot([ids[j : count + 1 + j] for j in range(length - 1)], mask_bits))
             use &= hit[:-1] & hit[1:]
-        return [w[use] for w in windows]
+        return [ids[j : count + j][use] for j in range(length)]
 
     def filters(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        ids = [np.concatenate(column) for column in zip(*parts)]
-        keys, counts = counted(packed(permuted(ids, bits), bits))
+        keys = [np.concatenate(column) for column in zip(*parts)]
+        parts.clear()
+        keys, counts = counted(keys)
         bucket = (keys[0] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(counts), dtype=np.int64)
         found, starts = np.unique(bucket, return_index=True)
         ends = np.append(starts[1:], len(bucket))
@@ -305,17 +344,17 @@ def gram_filters(length: int, bits: int, bucket_bits: int, mask, mask_bits: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for data in batch.column(0):
+            for data, hashes in zip(batch.column(0), batch.column(1)):
                 sequence = widened(data.as_py())
                 if len(sequence) < length:
                     continue
-                part = grams(sequence)
+                part = grams(sequence, hashes.values.to_numpy(zero_copy_only=False).astype(np.int64))
                 if len(part[0]):
-                    parts.append(part)
+                    parts.append(packed(permuted(part, bits), bits))
                     size += len(part[0])
                 if size >= gather:
                     yield filters(parts)
-                    parts, size = [], 0
+                    size = 0
         if parts:
             yield filters(parts)
 
@@ -365,32 +404,32 @@ def phrase_counts(
     filter_grams: int = FILTER_GRAMS,
     bucket_grams: int = BUCKET_GRAMS,
     mask_bits: int = MASK_BITS,
+    id_bits: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, phrases, totals): numbered words, (ids, f) of every phrase of 2 to ``longest`` words, words per language.
+    """(words, phrases, totals): words with ids, (ids, f) of every phrase of 2 to ``longest`` words, words per language.
 
     Only phrases that occur at least ``least`` times are kept, so their parts are too: a
     word that is rarer ends a run of words, and an n-gram is counted only if the
-    (n-1)-grams at its ends may be frequent.
-
-    A task turns its texts into blocks with word numbers of their own; distinct words per
-    block are counted, numbered and sent back. Then each task counts its n-grams in
-    filters, cut by the first bits of the permuted n-gram, and the filters of a bucket are
-    merged. The permutation spreads n-grams evenly, and a frequent one is in a filter
-    once, so buckets are even; their number grows with the corpus.
+    (n-1)-grams at its ends may be frequent. What may be frequent is told by a mask of
+    fixed size, which has no false misses.
+
+    A task turns its texts into blocks; the distinct words of a block are counted. Then
+    each task counts its n-grams in filters, cut by the first bits of the permuted n-gram,
+    and the filters of a bucket are merged. The permutation spreads n-grams evenly, and a
+    frequent one is in a filter once, so buckets are even; their number grows with the
+    corpus.
     """
-    lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string")
-    schema = "block long, lang string, words array<string>, counts array<long>, sequence binary"
-    blocks = staged(docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(block_writer(block_bytes), schema), "phrase-blocks")
+    blocks, words, bits = word_ids(docs, least, block_bytes, mask_bits, id_bits)
     in_block = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     totals = staged(blocks.groupBy("lang").agg(F.sum(in_block).alias("n")), "phrase-totals")
-    words = word_ids(blocks, least)
-    known, total = words.agg(F.max("id")).head()[0] or 0, totals.agg(F.sum("n")).head()[0] or 0
-    bits = max(known.bit_length(), 1)
-    bucket_bits = min(max(-(-total // bucket_grams) - 1, 0).bit_length(), 2 * bits)
-    sequences, mask, phrases = numbered_sequences(blocks, words), None, []
+    total = totals.agg(F.sum("n")).head()[0] or 0
+    bucket_bits = min(max(-(-total // bucket_grams) - 1, 0).bit_length(), 2 * bits, 32)
+    word_mask, mask, phrases = mask_of(words, mask_bits), None, []
+    if word_mask is None:
+        return words, words.select(F.array("id").alias("ids"), "f").where("false"), totals
     for length in range(2, longest + 1):
-        filters = sequences.mapInArrow(
-            gram_filters(length, bits, bucket_bits, mask, mask_bits, filter_grams), "bucket long, filter binary"
+        filters = blocks.select("sequence", "hashes").mapInArrow(
+            gram_filters(length, bits, bucket_bits, word_mask, mask, mask_bits, filter_grams), "bucket long, filter binary"
         )
         merged = filters.groupBy("bucket").applyInArrow(
             filter_merge(length, bits, bucket_bits, mask_bits, least), "ids array<long>, f long, slot long"

@@ -70,6 +70,11 @@ def test_phrases_equal_plain_counting(spark, least, options):
     assert want and rows_of(documents(spark, rows).repartition(3), least=least, **options) == want
 
 
+def test_ids_that_clash_are_drawn_anew(spark):
+    rows = corpus(9, 60)
+    assert rows_of(documents(spark, rows), least=5, id_bits=4) == plain(rows, 5)
+
+
 def test_odd_rows(spark):
     long = "one long text without end " * 20_000
     rows = [*EDGES, (1, long, "en"), (2, "a b " * 50 + "c", ""), (3, "...", "en"), (4, "\x00 \x01 " * 9, "fr"), (5, "a b c " * 9, "fr")]
@@ -88,7 +93,7 @@ def test_ties_go_by_the_phrase(spark):
     assert got == plain(rows, 4, top=3) and [r[2] for r in got] == ["e f", "z b2", "zz y"]
 
 
-@pytest.mark.parametrize("length, bits, bucket_bits", [(2, 1, 0), (2, 9, 3), (3, 25, 10), (4, 16, 0), (5, 25, 4), (5, 32, 7)])
+@pytest.mark.parametrize("length, bits, bucket_bits", [(2, 1, 0), (2, 9, 3), (3, 25, 10), (4, 16, 0), (5, 25, 4), (3, 41, 6), (5, 32, 7), (5, 63, 9)])
 def test_filters_lose_nothing(length, bits, bucket_bits):
     draw = np.random.RandomState(bits)
     ids = [draw.randint(0, min(1 << bits, 50), 4000).astype(np.uint64) for _ in range(length)]
