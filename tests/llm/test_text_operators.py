@@ -54,6 +54,47 @@ def test_assign_prefers_the_cheapest_sequence_that_holds():
     assert sum(filled.values()) == 500 and max(filled.values()) == 100 and len(filled) == 5
 
 
+def brute_assign(lengths, capacity):
+    """The cost rule with every open sequence looked at for every piece."""
+    rest = sorted((-(n % capacity), d, n - n % capacity) for d, n in enumerate(lengths) if n % capacity)
+    first = sum(n // capacity for n in lengths)
+    open_ = {first + s: (0.0, 0) for s in range(-(-sum(-r[0] for r in rest) // capacity))}
+    pieces = []
+    while rest:
+        rest.sort()
+        negative, document, start = rest.pop(0)
+        length = -negative
+        holding = [(cost, s) for s, (cost, used) in open_.items() if capacity - used >= length]
+        cost, s = min(holding or [(cost, s) for s, (cost, used) in open_.items() if used < capacity])
+        used = open_[s][1]
+        taken = min(length, capacity - used)
+        pieces.append((document, start, taken, s, used))
+        open_[s] = (cost + packing.LINEAR * taken + packing.QUADRATIC * taken * taken, used + taken)
+        if taken < length:
+            rest.append((taken - length, document, start + taken))
+    return pieces
+
+
+@pytest.mark.parametrize("seed, capacity", [(1, 100), (2, 100), (3, 7), (4, 2048)])
+def test_assign_equals_the_rule(seed, capacity):
+    draw = random.Random(seed)
+    lengths = [draw.choice([1, 2, capacity // 3, capacity - 1, capacity, 3 * capacity + 5, draw.randint(1, 2 * capacity)]) for _ in range(150)]
+    got = [p for p in packing.assign(np.array(lengths), capacity) if not (p[2] == capacity and p[1] % capacity == 0 and p[4] == 0)]
+    assert got == [p for p in brute_assign(lengths, capacity) if p[2] < capacity]
+
+
+def test_packing_of_two_million_blanks(spark):
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000), (3, " " * 2_000_000 + "a"), (4, "\n" * 2_000_000 + "a"), (5, "x")]
+    got = packing.pack_sequences(documents(spark, rows).coalesce(1)).toPandas()
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc_id, text in rows:
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        pieces = got[got.doc_id == doc_id].sort_values("start")
+        assert pieces.length.sum() == len(ids) == pieces.doc_tokens.iloc[0]
+        for start, length, crc in pieces[["start", "length", "ids_crc32"]].itertuples(index=False):
+            assert zlib.crc32(ids[start : start + length].tobytes()) == crc
+
+
 def brute_count(word, scores, fallback=-20.0):
     best = [(0.0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
