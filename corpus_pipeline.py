@@ -36,8 +36,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says."""
-    return mixed_documents(docs.select(*COLUMNS))
+    """Each document as often as its source's rate says; one without a word, as line dedup may leave it, adds nothing."""
+    return mixed_documents(docs.select(*COLUMNS).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
