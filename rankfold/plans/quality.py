@@ -68,8 +68,8 @@ def column_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     _LONG
     + """
-SELECT col AS "column", rows, missing, zeros, negatives, round(lo, 6) AS min, round(hi, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std,
-  round(skew, 4) AS skewness, round(kurt, 4) AS kurtosis, round(missing_pct, 6) AS missing_pct, round(zero_pct, 6) AS zero_pct FROM audit"""
+SELECT col AS "column", rows, missing, zeros, negatives, round(lo, 9) AS min, round(hi, 9) AS max, round(mean, 9) AS mean, round(std, 9) AS std,
+  round(skew, 4) AS skewness, round(kurt, 4) AS kurtosis, round(missing_pct, 9) AS missing_pct, round(zero_pct, 9) AS zero_pct FROM audit"""
 )
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The exact part of a column audit from profiles of 31 days, stored day by day and added up."""
@@ -79,7 +79,7 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
         part = rows.where((F.col("day") >= 20) == F.lit(late))
         profiles.daily_profiles(part, AUDITED, "day").write.mode("append").parquet(path)
     exact = ("rows", "missing", "zeros", "negatives", "min", "max", "mean", "std", "skewness", "kurtosis", "missing_pct", "zero_pct")
-    out = rounded(profiles.merged(spark.read.parquet(path)).select("column", *exact))
+    out = rounded(profiles.merged(spark.read.parquet(path)).select("column", *exact), 9)
     return out.withColumns({c: F.round(c, 4) for c in ("skewness", "kurtosis")})
 
 
