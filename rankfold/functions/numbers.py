@@ -96,11 +96,6 @@ def rail_code(column: Column) -> Column:
     return F.coalesce(to_double(text), word, F.lit(0.0))
 
 
-def days_between(later: Column, earlier: Column, limit: int | None = None) -> Column:
-    days = F.datediff(later, earlier)
-    return F.least(days, F.lit(limit)) if limit is not None else days
-
-
 def correlation(first: str, second: str) -> Column:
     """Aggregate: Pearson correlation; null when a side is constant, in every SQL mode."""
     a = F.when(F.col(second).isNotNull(), F.col(first).cast("double"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blending, cleaning, models, relative, scoring
+from ..functions.orders import order_array
+from ..operators import blending, cleaning, failures, models, relative, scoring
+from ..operators.grouping import row_number_within
+from ..operators.nesting import order_strings
 from ..sources import races as scans
 from ..sources import tables
 from .models import FEATURES, learning_rows
@@ -158,6 +161,27 @@ def rows_to_learn_from(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scoring.training_rows(spark.read.parquet(path), results, ["race_id", "numero"]))
 
 
+@query(
+    WITH_RUNNERS
+    + """,
+o AS (SELECT race_id, list(numero ORDER BY pred_a, numero)[1:5] AS p, list(numero ORDER BY position)[1:5] AS a FROM runners GROUP BY race_id),
+h AS (SELECT *, len(list_intersect(p, a)) AS h5, len(list_intersect(p, a[1:4])) AS h4, len(list_intersect(p, a[1:3])) AS h3 FROM o)
+SELECT race_id, CASE WHEN h5 = 5 THEN 'success' WHEN h4 = 4 THEN 'bonus_4_miss' WHEN h3 = 3 THEN 'bonus_3_miss' ELSE 'quinte_desordre_miss' END AS failure_type,
+  (len(a) - h5)::INT AS missed, (len(p) - h5)::INT AS wrong FROM h"""
+)
+def failures_of_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Failure types from stored order strings."""
+    rows, by_race = runners(spark, sf)
+    ranked = row_number_within(rows, by_race, [F.col("pred_a").asc(), F.col("numero").asc()], "rank")
+    predicted = order_strings(ranked, ["race_id"], "rank", "numero", "predicted").select("race_id", "predicted")
+    actual = order_strings(ranked, ["race_id"], "position", "numero", "actual").select("race_id", "actual")
+    both = predicted.join(actual, "race_id").withColumns({c: order_array(F.col(c)) for c in ("predicted", "actual")})
+    out = failures.from_orders(both, "predicted", "actual")
+    return out.select(
+        "race_id", "failure_type", F.size("missed_horses").alias("missed"), F.size("false_positives").alias("wrong")
+    )
+
+
 @query(f"SELECT {len(FEATURES)} AS columns, 1.0::DOUBLE AS total, true AS none_negative")
 def importance_properties(spark: SparkSession, sf: str) -> DataFrame:
     """Importances of all columns: a share each."""

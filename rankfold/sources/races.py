@@ -155,13 +155,6 @@ def nested_predictions(races: DataFrame, missing: int | None = 999) -> DataFrame
     return out if missing is None else out.na.fill(missing, ["actual_position"])
 
 
-def newest_file(df: DataFrame) -> DataFrame:
-    """Rows of the file written last."""
-    stamped = df.select("*", F.col("_metadata.file_modification_time").alias("__at"), F.col("_metadata.file_path").alias("__f"))
-    last = stamped.select(F.max(F.struct("__at", "__f"))).scalar()
-    return stamped.where(F.struct("__at", "__f") == last).drop("__at", "__f")
-
-
 def newest_folder(df: DataFrame) -> DataFrame:
     """Rows of the folder written last, where each export is a folder of any number of files."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1)

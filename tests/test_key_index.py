@@ -21,7 +21,7 @@ def frame(spark, rows):
 
 def test_upserts_equal_a_dictionary(spark, folder):
     draw, want, index = random.Random(5), {}, index_of(spark, folder)
-    for step in range(8):
+    for step in range(6):
         batch = {}
         for _ in range(25):
             key = (draw.choice([None, *range(step * 4, step * 4 + 30)]), draw.choice([1, 2, None]))
