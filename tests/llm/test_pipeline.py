@@ -74,3 +74,15 @@ def test_empty_and_odd_tables(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_documents_left_without_a_word_add_nothing_to_the_mix(spark):
+    lines = [f"line {i} with words enough to be compared by their key" for i in range(6)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "\n".join(lines[:3])), (4, "\n".join([*lines, "one line of its own here"]))]
+    docs = documents(spark, [(i, t, "en", "a", len(t)) for i, t in rows])
+    lined = corpus_pipeline.line_dedup(spark, docs, SF)
+    left = {r.doc_id: r.text for r in lined.collect()}
+    assert {i for i, t in left.items() if t.strip()} == {1, 4} and set(left) == {1, 2, 3, 4}
+    mixed = corpus_pipeline.source_mixing(spark, corpus_pipeline.minhash_dedup(spark, lined, SF), SF)
+    assert {r.doc_id for r in mixed.collect()} <= {1, 4} and mixed.columns == corpus_pipeline.COLUMNS
+    assert mixed.count() > 0
