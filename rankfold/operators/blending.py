@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import Grouping, as_grouping, row_number_within
+from .grouping import Grouping, as_grouping, input_bytes, row_number_within
 
 # Performance factors by recent mean absolute error.
 GOOD_MAE, FAIR_MAE, POOR_MAE = 5.0, 6.0, 8.0
 GOOD_FACTOR, FAIR_FACTOR, POOR_FACTOR = 1.3, 1.1, 0.7
+WEIGHTED_BYTES = 16 << 20  # input times weights that one task of a weight search sorts
 
 
 def check_weights(weights: Mapping[str, float], must_sum_to_one: bool = False) -> None:
@@ -145,22 +146,30 @@ def weight_steps(step: float) -> list[float]:
     return [round(i / n, 10) for i in range(n + 1)]
 
 
-def over_weights(df: DataFrame, group, first: str, second: str, weights: Sequence[float], tie_break: Sequence[str]):
-    """Every row under every weight of the first score: (frame, grouping).
+def under_weights(df: DataFrame, group, weights: Sequence[float], score: Column, tie_break: Sequence[str]):
+    """Every row under every weight: (frame, grouping).
 
-    Adds ``weight``, ``score`` and the rank ``predicted_rank`` inside (race, weight).
-    The rows travel once, by race; the weights multiply them after the shuffle.
+    Adds ``weight``, ``score`` (a column that may use ``weight``) and the rank
+    ``predicted_rank`` inside (race, weight). The rows travel once, by race; the weights
+    multiply them after the shuffle, so the parts are counted by the size after that.
     """
     g = as_grouping(df, group)
     grid = F.array(*[F.lit(float(w)) for w in weights])
-    rows = df.repartition(*g.keys) if g.hot is None else df
-    rows = rows.withColumn("weight", F.explode(grid))
-    rows = rows.withColumn("score", F.col(first) * F.col("weight") + F.col(second) * (1 - F.col("weight")))
-    finer = Grouping(g.keys + ("weight",), None)
-    if g.hot is not None:
-        finer = Grouping(finer.keys, g.hot.withColumn("weight", F.explode(grid)))
     order = [F.col("score").asc_nulls_last(), *[F.col(c).asc() for c in tie_break]]
-    return row_number_within(rows, finer, order, "predicted_rank"), finer
+    each = lambda rows: rows.withColumn("weight", F.explode(grid)).withColumn("score", score)
+    plain, hot = (df, None) if g.hot is None else g.split(df)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) * len(weights) // WEIGHTED_BYTES))
+    ranked = row_number_within(each(plain.repartition(parts, *g.keys)), Grouping(g.keys + ("weight",)), order, "predicted_rank")
+    if hot is None:
+        return ranked, Grouping(g.keys + ("weight",))
+    finer = Grouping(g.keys + ("weight",), g.hot.withColumn("weight", F.explode(grid)))
+    return ranked.unionByName(row_number_within(each(hot), finer, order, "predicted_rank")), finer
+
+
+def over_weights(df: DataFrame, group, first: str, second: str, weights: Sequence[float], tie_break: Sequence[str]):
+    """Every row under every weight of the first score, ranked as by :func:`under_weights`."""
+    score = F.col(first) * F.col("weight") + F.col(second) * (1 - F.col("weight"))
+    return under_weights(df, group, weights, score, tie_break)
 
 
 def weight_results(

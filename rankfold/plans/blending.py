@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import bucket
 from ..operators import blending
-from ..operators.grouping import Grouping, row_number_within, top_k
+from ..operators.grouping import row_number_within, top_k
 from .registry import query
 from .roles import RACES, WITH_FIELD, WITH_RUNNERS, field, rounded, runners, table
 
@@ -307,16 +307,8 @@ def competitive_weight_wins(spark: SparkSession, sf: str) -> DataFrame:
     rows, by_race = runners(spark, sf)
     rows = rows.withColumn("adjusted", F.col("pred_a") + (F.col("discount") - 0.05) * 100)
     rows = rows.select("race_id", "numero", "position", "pred_a", "adjusted")
-    if by_race.hot is None:
-        rows = rows.repartition("race_id")
-    grid = F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    rows = rows.withColumn("weight", F.explode(grid))
-    gain = F.col("adjusted") - F.col("pred_a")
-    rows = rows.withColumn("score", F.round(F.col("pred_a") + gain * F.col("weight"), 6))
-    hot = None if by_race.hot is None else by_race.hot.withColumn("weight", F.explode(grid))
-    ranked = row_number_within(
-        rows, Grouping(("race_id", "weight"), hot), [F.col("score").asc(), F.col("numero").asc()], "predicted_rank"
-    )
+    score = F.round(F.col("pred_a") + (F.col("adjusted") - F.col("pred_a")) * F.col("weight"), 6)
+    ranked, _ = blending.under_weights(rows, by_race, (0.0, 0.25, 0.5, 0.75, 1.0), score, ["numero"])
     rank, pos = F.col("predicted_rank"), F.col("position")
     per = ranked.groupBy("race_id", "weight").agg(
         *[F.count(F.when((rank <= 5) & (pos <= k), 1)).alias(f"in{k}") for k in (3, 4, 5)], F.count(F.lit(1)).alias("n")

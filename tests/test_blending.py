@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from rankfold.operators import blending
-from rankfold.operators.grouping import Grouping
+from rankfold.operators.grouping import Grouping, input_bytes
 
 SCORES = [(1.2, 1.1, 1.3), (2.1, 2.3, 2.0), (3.5, 3.2, 3.6), (4.0, 4.1, 3.9), (5.3, 5.1, 5.4)]
 RULES = [
@@ -106,5 +108,17 @@ def test_weight_search_with_a_hot_race(spark):
     assert best["winner_accuracy"] == max(r[1] for r in results[0])
 
 
+def test_weight_search_deals_more_parts_to_more_weights(spark, monkeypatch, folder):
+    spark.range(1000).select((F.col("id") % 50).alias("race"), F.col("id").alias("numero"), F.rand(1).alias("a"), F.rand(2).alias("b")).write.parquet(f"{folder}/r")
+    df = spark.read.parquet(f"{folder}/r")
+    monkeypatch.setattr(blending, "WEIGHTED_BYTES", input_bytes(df) // 4)
+    for group in (Grouping(("race",)), Grouping(("race",), spark.createDataFrame([(0,)], "race long"))):
+        ranked, _ = blending.over_weights(df, group, "a", "b", blending.weight_steps(0.1), ["numero"])
+        assert ranked.count() == 11_000
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        parts = [int(n) for n in re.findall(r"RepartitionByExpression \[race#\d+L\], (\d+)", plan)]
+        assert parts and parts[0] >= 44  # every part holds a bounded size after the weights have multiplied it
+
+
 def test_weight_steps():
     assert blending.weight_steps(0.1) == [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
