@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history, profiles, quality
+from ..operators.grouping import with_group_stats
 from ..sources.tables import stage_path
 from .history import horse_field
 from .registry import query
@@ -255,8 +256,8 @@ def leak_check(spark: SparkSession, sf: str) -> DataFrame:
     """Checks a leaky count (one that includes the same day when a horse runs twice) against the as-of count."""
     rows, by_horse = horse_field(spark, sf)
     rows = history.asof_totals(rows, by_horse, "jour", starts=F.lit(1)).na.fill(0, ["starts"])
-    per_day = rows.groupBy("horse_id", "jour").agg(F.count(F.lit(1)).alias("same_day"))
-    leaky = rows.join(per_day, ["horse_id", "jour"])
+    leaky = with_group_stats(rows.select("horse_id", "jour", "starts"), by_horse.with_keys("jour"), same_day=F.count(F.lit(1)))
+    leaky = leaky.where(F.col("horse_id").isNotNull() & F.col("jour").isNotNull())
     starts = F.col("starts") + F.when(F.col("same_day") > 1, F.col("same_day")).otherwise(0)
     return quality.leak_check(leaky.withColumn("starts", starts), "horse_id", "jour", "starts")
 

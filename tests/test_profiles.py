@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankfold.operators import models, profiles, quality
+from rankfold.plans import quality as plans_quality
 
 COLUMNS = ["flat", "wide", "sparse", "skewed", "empty", "constant"]
 
@@ -108,3 +109,18 @@ def test_residual_models_of_odd_types(spark, monkeypatch):
 
 def kinds_shift(kind):
     return {"a/b=c": 2.0, "": -1.0, None: 0.5, "few": 0.0, "42": 3.0}[kind]
+
+
+def test_leak_check_reads_its_tables_once(spark, folder):
+    spark.createDataFrame(
+        [(1, 7, 1), (1, 7, 2), (2, 7, 1), (2, None, 2), (3, 8, 1), (3, 8, 2)], "l_orderkey long, l_partkey long, l_linenumber int"
+    ).selectExpr(
+        "*", "1L AS l_suppkey", "1D AS l_quantity", "1D AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'A' AS l_returnflag",
+        "'F' AS l_linestatus", "timestamp'2024-01-01' AS l_shipdate",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, None)], "o_orderkey long, d string").selectExpr(
+        "o_orderkey", "1L AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice", "to_timestamp(d) AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    ).write.parquet(f"{folder}/orders.parquet")
+    out = plans_quality.leak_check(spark, folder)
+    assert [tuple(map(str, r)) for r in out.collect()] == [("7", "2024-01-01", "2", "0")]
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
