@@ -146,16 +146,15 @@ def weight_steps(step: float) -> list[float]:
     return [round(i / n, 10) for i in range(n + 1)]
 
 
-def under_weights(df: DataFrame, group, weights: Sequence[float], score: Column, tie_break: Sequence[str]):
+def under_weights(df: DataFrame, group, weights: Sequence[float], score: Column, order: Sequence[Column]):
     """Every row under every weight: (frame, grouping).
 
     Adds ``weight``, ``score`` (a column that may use ``weight``) and the rank
-    ``predicted_rank`` inside (race, weight). The rows travel once, by race; the weights
+    ``predicted_rank`` by ``order`` inside (race, weight). The rows travel once, by race; the weights
     multiply them after the shuffle, so the parts are counted by the size after that.
     """
     g = as_grouping(df, group)
     grid = F.array(*[F.lit(float(w)) for w in weights])
-    order = [F.col("score").asc_nulls_last(), *[F.col(c).asc() for c in tie_break]]
     each = lambda rows: rows.withColumn("weight", F.explode(grid)).withColumn("score", score)
     plain, hot = (df, None) if g.hot is None else g.split(df)
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) * len(weights) // WEIGHTED_BYTES))
@@ -169,7 +168,8 @@ def under_weights(df: DataFrame, group, weights: Sequence[float], score: Column,
 def over_weights(df: DataFrame, group, first: str, second: str, weights: Sequence[float], tie_break: Sequence[str]):
     """Every row under every weight of the first score, ranked as by :func:`under_weights`."""
     score = F.col(first) * F.col("weight") + F.col(second) * (1 - F.col("weight"))
-    return under_weights(df, group, weights, score, tie_break)
+    order = [F.col("score").asc_nulls_last(), *[F.col(c).asc() for c in tie_break]]
+    return under_weights(df, group, weights, score, order)
 
 
 def weight_results(

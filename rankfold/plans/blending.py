@@ -308,7 +308,7 @@ def competitive_weight_wins(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("adjusted", F.col("pred_a") + (F.col("discount") - 0.05) * 100)
     rows = rows.select("race_id", "numero", "position", "pred_a", "adjusted")
     score = F.round(F.col("pred_a") + (F.col("adjusted") - F.col("pred_a")) * F.col("weight"), 6)
-    ranked, _ = blending.under_weights(rows, by_race, (0.0, 0.25, 0.5, 0.75, 1.0), score, ["numero"])
+    ranked, _ = blending.under_weights(rows, by_race, (0.0, 0.25, 0.5, 0.75, 1.0), score, [F.col("score").asc(), F.col("numero").asc()])
     rank, pos = F.col("predicted_rank"), F.col("position")
     per = ranked.groupBy("race_id", "weight").agg(
         *[F.count(F.when((rank <= 5) & (pos <= k), 1)).alias(f"in{k}") for k in (3, 4, 5)], F.count(F.lit(1)).alias("n")
