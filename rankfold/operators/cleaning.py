@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import FINISH_CODES, number_or_code, to_double
 from ..functions.text import blank_to_null, race_time_millis
-from .grouping import Grouping, quantiles_within
+from ..session import reliable_checkpoint
+from .grouping import MAX_COLUMN_VALUES, Grouping, quantiles_within
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -233,10 +234,14 @@ def category_codes(df: DataFrame, column: str, name: str, unknown: str = "unknow
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Null numbers become the column's median; medians of all columns come from one pass."""
+    """Null numbers become the column's median; medians of all columns come from one pass.
+
+    Equal values of a column are counted first, so a column costs its values, not its rows.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(F.inline(pairs))
-    medians = quantiles_within(long, Grouping.measure(long, "column"), "value", [0.5], "m")
+    counts = reliable_checkpoint(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    medians = quantiles_within(counts, Grouping.measure(counts, "column", max_rows=MAX_COLUMN_VALUES), "value", [0.5], "m", "n")
     fitted = {r["column"]: r["m"] for r in medians.select("column", F.get("m", 0).alias("m")).collect()}  # one row per column
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fitted.get(c)).cast("double")) for c in columns})
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import reliable_checkpoint
 
 MAX_GROUP_ROWS = 1_000_000  # rows of one group that one task may sort
+MAX_COLUMN_VALUES = 100_000  # distinct values of a column that one task may hold for its quantiles
 MAX_LAGS = 8
 SMALL_INPUT_BYTES = 256 << 20  # below this no group can be too large for a task
 
@@ -58,9 +59,14 @@ class Grouping:
         return cls(tuple(keys), None if large.isEmpty() else large)
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(rows of ordinary groups, rows of hot groups)."""
+        """(rows of ordinary groups, rows of hot groups).
+
+        Hot keys are few, at most one per ``MAX_GROUP_ROWS`` rows, so they are broadcast: a
+        shuffle by key would bring a whole hot group into one task.
+        """
         keys = [k for k in self.keys if k in self.hot.columns]
-        return join_on(df, self.hot, keys, "left_anti"), join_on(df, self.hot, keys, "left_semi")
+        hot = F.broadcast(self.hot)
+        return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi")
 
     def with_keys(self, *extra: str) -> Grouping:
         """Finer grouping below the same keys; hotness is inherited."""
@@ -219,7 +225,7 @@ def quantiles_within(
     plain = plain.groupBy(*keys).agg(F.percentile(value, wanted, often).alias(name))
     # Equal values are counted before the shuffle, then found by cumulative count.
     values = hot.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(often).alias("__n"))
-    totals = values.groupBy(*keys).agg(F.sum("__n").alias("__size"))
+    totals = F.broadcast(values.groupBy(*keys).agg(F.sum("__n").alias("__size")))  # one row per hot group
     placed = join_on(_running_before(values, keys, [F.col(value).asc()], F.col("__n")), totals, keys)
     at = placed.select(*keys, value, "__before", "__n", "__size", F.posexplode(wanted).alias("__i", "__p"))
     target = F.col("__p") * (F.col("__size") - 1)
@@ -229,7 +235,8 @@ def quantiles_within(
         F.max(F.when(holds(F.ceil(target)), F.col(value))).alias("__hi"),
         F.max(target - F.floor(target)).alias("__part"),
     )
-    point = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    between = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    point = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(between)  # infinite values have no difference
     hot = picked.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", point.alias("v")))), lambda s: s["v"]).alias(name)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import correlation
 from .cleaning import NUMERIC_TYPES
 from ..session import reliable_checkpoint
-from .grouping import Grouping, quantiles_within
+from .grouping import MAX_COLUMN_VALUES, Grouping, quantiles_within
 
 # Thresholds of the audit and words that hint at leakage.
 HIGH_MISSING, ZERO_SHARE, LOW_VARIANCE, SKEW_LIMIT, OUTLIER_SHARE, HIGH_CORRELATION = 50.0, 50.0, 0.01, 5.0, 5.0, 0.95
@@ -36,7 +36,7 @@ def weighted_moments(counts: DataFrame) -> DataFrame:
     known = counts.where(F.col("value").isNotNull())
     means = known.groupBy("column").agg(F.sum("n").alias("__n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
     away = F.col("value") - F.col("mean")
-    sums = known.join(means, "column").groupBy("column", "mean", "__n").agg(
+    sums = known.join(F.broadcast(means), "column").groupBy("column", "mean", "__n").agg(
         *[F.sum(F.pow(away, k) * F.col("n")).alias(f"__m{k}") for k in (2, 3, 4)]
     )
     n, m2 = F.col("__n"), F.col("__m2")
@@ -67,7 +67,7 @@ def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max(F.when(v.isNotNull(), n)).alias("most_common_count"),
     )
     moments = weighted_moments(counts)
-    by_column = Grouping.measure(counts, "column")
+    by_column = Grouping.measure(counts, "column", max_rows=MAX_COLUMN_VALUES)
     quartiles = quantiles_within(counts, by_column, "value", [0.25, 0.5, 0.75], "q", "n").select(
         "column",
         F.get("q", 0).alias("q1"),
@@ -76,7 +76,7 @@ def column_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     fence = OUTLIER_IQR * (F.col("q3") - F.col("q1"))
     outside = (v < F.col("q1") - fence) | (v > F.col("q3") + fence)
-    outliers = counts.join(quartiles, "column").groupBy("column").agg(
+    outliers = counts.join(F.broadcast(quartiles), "column").groupBy("column").agg(
         F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outliers")
     )
     out = stats.join(moments, "column").join(quartiles, "column").join(outliers, "column")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from rankfold.operators import history
+from rankfold.operators import cleaning, history, quality
 from rankfold.operators.grouping import (
     Grouping,
     previous_rows,
@@ -138,3 +138,45 @@ def test_recent_runs_and_priors(spark):
     row = history.event_career(df, ["h"], "d", "p", "hc", "n", "g").first()
     assert row["avg_quinte_position"] == 10.0 and row["days_since_last_quinte"] == 999.0
     assert row["quinte_large_field_ability"] == 0.5 and row["quinte_career_starts"] == 0.0
+
+
+def test_hot_rows_are_not_shuffled_by_key(spark, data):
+    g = Grouping.measure(data, "k", max_rows=100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [part._jdf.queryExecution().executedPlan().toString() for part in g.split(data)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all("BroadcastHashJoin" in p and "hashpartitioning(k" not in p for p in plans)
+
+
+def test_medians_of_columns_with_many_values(spark, monkeypatch):
+    """Values are counted first, and a column of many distinct values is range-sliced."""
+    seen = []
+
+    def spy(df, group, *args, **kwargs):
+        seen.append((df.columns, group.hot is not None))
+        return quantiles_within(df, group, *args, **kwargs)
+
+    monkeypatch.setattr(cleaning, "quantiles_within", spy)
+    monkeypatch.setattr(cleaning, "MAX_COLUMN_VALUES", 5)
+    numbers = [1.0, 2.0, 2.0, 9.0, 3.0, 4.0, 5.0, 6.0, float("inf"), None]
+    table = [(i, v, 7 if i % 2 else None, None) for i, v in enumerate(numbers)]
+    out = cleaning.fill_median(spark.createDataFrame(table, "id int, a double, b int, c double"), ["a", "b", "c"])
+    want = [(i, 4.0 if v is None else v, 7.0, None) for i, v in enumerate(numbers)]
+    assert rows(out, "id") == want
+    top = spark.createDataFrame([(1.0,), (2.0,)] + [(float("inf"),)] * 5 + [(None,)], "a double")
+    monkeypatch.setattr(cleaning, "MAX_COLUMN_VALUES", 2)
+    assert cleaning.fill_median(top, ["a"]).where("a = double('infinity')").count() == 6
+    assert seen == [(["column", "value", "n"], True)] * 2
+
+
+def test_audit_slices_columns_with_many_values(spark, monkeypatch):
+    table = spark.createDataFrame([(float(i % 40), 1.0 if i % 3 else None) for i in range(200)], "a double, b double")
+    plain = rows(quality.column_audit(table, ["a", "b"]), "column")
+    taken = []
+    monkeypatch.setattr(quality, "MAX_COLUMN_VALUES", 10)
+    monkeypatch.setattr(quality, "quantiles_within", lambda df, g, *a: taken.append(g.hot.count()) or quantiles_within(df, g, *a))
+    assert rows(quality.column_audit(table, ["a", "b"]), "column") == plain
+    assert taken == [1]
