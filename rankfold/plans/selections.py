@@ -134,6 +134,9 @@ def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
     statistics = relative.field_statistics(rows, ["race_id"])
     documents = tables.competitive_document(rows, "race_id", "numero", ["composite_score"], statistics)
     documents = documents.withColumn("slot", (F.col("race_id") % 8).cast("int"))
+    made = tables.stage_path(spark, "made")  # both deliveries read them from here, an upsert several times
+    documents.write.parquet(made)
+    documents = spark.read.schema(documents.schema).parquet(made)
     path = tables.stage_path(spark, "documents")
     for version in (1, 2):
         stored = tables.upsert(
