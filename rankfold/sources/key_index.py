@@ -24,6 +24,7 @@ SLICE_ROWS = 1_000_000
 FANOUT = 4
 HASHES = 4
 BITS_PER_KEY = 10
+MANY_KEYS = 10_000  # a filter admits one of so many keys almost surely, though it holds none
 
 
 class KeyIndex:
@@ -167,11 +168,22 @@ class KeyIndex:
         touched = self._touched(near)
         if not touched:
             return near.drop("width"), {}
+        # Slices asked for many keys are opened anyway: probing their filters would only cost a shuffle of every bit.
+        counted = near.groupBy("run", "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY_KEYS)
+        crowded = self._touched(counted)
+        sparse = {run: [n for n in slices if n not in crowded.get(run, ())] for run, slices in touched.items()}
+        sparse = {run: slices for run, slices in sparse.items() if slices}
+        if not sparse:
+            return near.drop("width"), touched
+        whole = self._opened(near, crowded).drop("width")
+        near, touched = self._opened(near, sparse), sparse
         words = self._opened(self._read("filters", "word bigint, bits bigint, run bigint, slice int", list(touched)), touched)
         asked = near.withColumn("s", F.explode(self._slots(F.col("width"))))
         asked = asked.withColumn("word", F.expr("s.place div 64"))
         hit = asked.join(words, ["run", "slice", "word"]).where("shiftright(bits, cast(s.place % 64 as int)) & 1 = 1")
         hits = hit.groupBy(*self.keys, "run", "slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == HASHES).drop("n")
+        if crowded:
+            hits = hits.unionByName(whole)
         staged = stage_path(self.spark, "index-hits")
         hits.write.parquet(staged)
         hits = self.spark.read.schema(hits.schema).parquet(staged)
