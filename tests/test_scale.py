@@ -1,7 +1,9 @@
 """Steps whose cost must not grow faster than the input."""
 
-from conftest import rows
+from conftest import SF, rows
 from rankfold.functions import families
+from rankfold.operators.nesting import parse_nested
+from rankfold.sources import key_index, tables
 
 
 def test_fields_are_read_once(spark):
@@ -13,3 +15,38 @@ def test_fields_are_read_once(spark):
     assert plan.count("TOMBE") == 2  # one reading per default, however many features use the place
     got = rows(out.select("corde_change", "last_race_position", "last_race_position_normalized", "last_race_won"))
     assert got == [(-8.0, 15.0, 1.4, 0.0), (float("-inf"), 12.0, 1.1, 0.0), (0.0, 0.0, 0.9, 0.0)]
+
+
+def test_documents_are_made_once(spark, monkeypatch):
+    from rankfold.plans import selections
+
+    plans, upsert = [], tables.upsert
+
+    def seen(new, *args, **kwargs):
+        plans.append(new._jdf.queryExecution().optimizedPlan().toString())
+        return upsert(new, *args, **kwargs)
+
+    monkeypatch.setattr(tables, "upsert", seen)
+    assert selections.stored_documents(spark, SF).where("version = 2").count() > 0
+    assert len(plans) == 2 and not any("Window" in p or "Join" in p for p in plans)
+
+
+def test_bulk_lookup_probes_no_filter(spark, folder, monkeypatch):
+    monkeypatch.setattr(key_index, "MANY_KEYS", 50)
+    index = key_index.KeyIndex(spark, f"{folder}/index", "k bigint", "v int", slice_rows=100)
+    index.commit(index.add(spark.range(0, 400, 2).selectExpr("id AS k", "cast(id % 7 AS int) AS v")))
+    kinds, read = [], index._read
+    monkeypatch.setattr(index, "_read", lambda kind, *args: kinds.append(kind) or read(kind, *args))
+    got = index.lookup(spark.range(400).selectExpr("id AS k"))
+    assert rows(got.select("k", "v")) == sorted([(k, k % 7) for k in range(0, 400, 2)], key=lambda r: (str(r[0]), str(r[1])))
+    assert "filters" not in kinds
+    # The first slice is asked for many keys, the last for one.
+    mixed = index.lookup(spark.range(60).union(spark.range(398, 400)).selectExpr("id AS k"))
+    assert mixed.count() == 31 and "filters" in kinds
+
+
+def test_feed_objects_are_parsed_once(spark):
+    texts = [('{"n": 1, "t": "a"}',), ('{"participants": [{"n": 2}]}',), ('[{"n": 3}]',), ('{"participants": 5, "n": 4}',), ("x",), (None,)]
+    out = parse_nested(spark.createDataFrame(texts, "d string"), "d", "n:bigint,t:string")
+    assert [None if r.d is None else [e.n for e in r.d] for r in out.collect()] == [[1], [2], [3], [4], None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2  # a list, or an object of either shape
