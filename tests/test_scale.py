@@ -1,8 +1,10 @@
 """Steps whose cost must not grow faster than the input."""
 
 from conftest import SF, rows
+from pyspark.sql import functions as F
+
 from rankfold.functions import families
-from rankfold.operators.nesting import parse_nested
+from rankfold.operators.nesting import parse_nested, unnest
 from rankfold.sources import key_index, tables
 
 
@@ -50,3 +52,13 @@ def test_feed_objects_are_parsed_once(spark):
     out = parse_nested(spark.createDataFrame(texts, "d string"), "d", "n:bigint,t:string")
     assert [None if r.d is None else [e.n for e in r.d] for r in out.collect()] == [[1], [2], [3], [4], None, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2  # a list, or an object of either shape
+
+
+def test_parsed_arrays_are_not_parsed_in_a_join_below(spark):
+    """A plain explode has the join ask for arrays with entries, which parses each text several times."""
+    left = spark.createDataFrame([(1, '[{"a": 1}, null, {"a": 2}]'), (2, "[]"), (3, None), (4, '{"a": 4}')], "id int, text string")
+    joined = left.join(spark.range(9).withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id", F.concat("text", F.repeat(F.lit(" "), F.col("other").cast("int"))).alias("text"))
+    out = unnest(parse_nested(joined, "text", "a int"), "text", computed=True)
+    assert sorted(tuple(r) for r in out.select("id", F.coalesce("a", F.lit(0))).collect()) == [(1, 0), (1, 1), (1, 2), (4, 4)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and "from_json" in line]
