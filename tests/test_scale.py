@@ -4,6 +4,8 @@ from conftest import SF, rows
 from pyspark.sql import functions as F
 
 from rankfold.functions import families
+from rankfold.operators import grouping
+from rankfold.operators.grouping import Grouping
 from rankfold.operators.nesting import parse_nested, unnest
 from rankfold.sources import key_index, tables
 
@@ -62,3 +64,25 @@ def test_parsed_arrays_are_not_parsed_in_a_join_below(spark):
     assert sorted(tuple(r) for r in out.select("id", F.coalesce("a", F.lit(0))).collect()) == [(1, 0), (1, 1), (1, 2), (4, 4)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Join" in line and "from_json" in line]
+
+
+def test_keys_of_ordinary_groups_are_not_counted(spark, monkeypatch):
+    """Only keys whose bucket is filled are counted; hot keys, a null one too, are found however keys share buckets."""
+    df = spark.range(400).select(F.when(F.col("id") % 4 > 0, F.col("id") % 100).alias("k"))  # 100 null keys, 75 keys of 4 rows
+    counted = []
+    monkeypatch.setattr(grouping, "reliable_checkpoint", lambda df: counted.append(df) or df.localCheckpoint())
+    assert Grouping.measure(df.where("k is not null"), "k", max_rows=50).hot is None and not counted
+    for buckets, listed in ((1, 1000), (1 << 16, 1000), (1 << 16, 0)):
+        monkeypatch.setattr(grouping, "KEY_BUCKETS", buckets)
+        monkeypatch.setattr(grouping, "LISTED_BUCKETS", listed)
+        assert rows(Grouping.measure(df, "k", max_rows=50).hot) == [(None,)]
+    assert Grouping.measure(df, "k", max_rows=3).hot.count() == 76
+    assert counted
+
+
+def test_the_shuffle_by_horse_carries_nothing_twice(spark):
+    from rankfold.plans.models import all_features
+
+    plan = all_features(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    by_horse = next(plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(horse_id" in line)
+    assert "price#" in by_horse and "pred_b#" not in by_horse and "coalesce(price" not in by_horse
